@@ -93,7 +93,8 @@ def _classified(docs: DataFrame) -> DataFrame:
         x["type"].isin(P.PREAMBLE_HEAD, P.PREAMBLE_INTRO), "1").when(x["clause"], "-").otherwise("0")), "")
     inside = F.when(F.contains("_effect", F.lit("1")), F.flatten(F.transform(
         F.regexp_extract_all("_effect", F.lit("^-+|[01]-*"), F.lit(0)),
-        lambda run: F.array_repeat(F.startswith(run, F.lit("1")), F.length(run)))))
+        lambda run: F.array_repeat(F.startswith(run, F.lit("1")), F.length(run))))
+    ).otherwise(F.array().cast("array<boolean>"))
     final = F.transform(F.arrays_zip("_lines", before("_inside").alias("inside")), lambda z: _retyped(
         z["_lines"], z["_lines"]["text"],
         F.when(z["_lines"]["clause"] & F.coalesce(z["inside"], F.lit(False)), P.PREAMBLE_CLAUSE)

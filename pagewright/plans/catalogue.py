@@ -1,6 +1,6 @@
 """All queries and their SQL twins."""
 
-from . import text_queries
+from . import run_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **run_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **run_queries.ORACLES}
