@@ -1,6 +1,6 @@
 """All queries and their SQL twins."""
 
-from . import run_queries, text_queries
+from . import run_queries, stream_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **run_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **run_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **run_queries.QUERIES, **stream_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **run_queries.ORACLES, **stream_queries.ORACLES}
