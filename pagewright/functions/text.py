@@ -70,8 +70,9 @@ def before(array: str) -> Column:
     Neighbours are zipped in rather than looked up by index inside a lambda: an array that a
     lambda captures may be inlined there by the optimizer and computed again for every element.
     """
-    return F.concat(F.array(F.lit(None)), F.slice(array, F.lit(1), F.greatest(F.size(array) - 1, F.lit(0))))
+    return F.slice(F.concat(F.array(F.lit(None)), array), F.lit(1), F.size(array))
 
 
 def ahead(array: str, steps: int) -> Column:
-    return F.slice(array, F.lit(1 + steps), F.greatest(F.size(array), F.lit(0)))
+    """The array from ``steps`` on; zipping fills the end with NULL."""
+    return F.slice(array, F.lit(1 + steps), F.size(array))
