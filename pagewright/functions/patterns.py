@@ -1,13 +1,14 @@
 """Every pattern, word list and message with a prescribed value.
 
-The patterns avoid ``\\s``, ``\\d`` and ``\\b`` wherever those differ between regex
-dialects, and spell the character class out instead.
+The patterns avoid ``\\s``, ``\\d`` and ``\\b`` wherever those differ between regex dialects, and name
+the characters instead. ``\\w`` is ASCII everywhere.
 """
 
 # ---------------------------------------------------------------- fixed values: white space
 # ECMAScript white space (trim, \s) and Python white space (strip, split, \s), as regex class bodies.
-JS_SPACE = r"\x{9}-\x{d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-PY_SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The separator category is one table lookup in the JVM; the same set spelled out as ranges is ten times slower.
+JS_SPACE = r"\p{Z}\x{9}-\x{d}\x{feff}"
+PY_SPACE = r"\p{Z}\x{9}-\x{d}\x{1c}-\x{1f}\x{85}"
 
 
 def _members(*ranges: tuple[int, int]) -> str:
@@ -24,10 +25,10 @@ PY_SPACE_CHARS = _members((0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0),
 PY_LINE_BREAK = r"\r\n|[\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # ---------------------------------------------------------------- fixed values: page quality
-ODD_LINE_BREAK = r"[A-Za-z0-9_]\n[A-Za-z0-9_]"
+ODD_LINE_BREAK = r"\w\n\w"
 MISSING_SPACE = r"[a-z][A-Z]"
-SPECIAL_CHAR = rf"""[^A-Za-z0-9_{JS_SPACE}\-.,;:'"!?()\[\]{{}}]"""
-SHORT_WORD = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{1,2}(?![A-Za-z0-9_])"
+SPECIAL_CHAR = rf"""[^\w{JS_SPACE}\-.,;:'"!?()\[\]{{}}]"""
+SHORT_WORD = r"(?<!\w)\w{1,2}(?!\w)"
 NUMBER_RUN = r"[0-9]{3,}"
 PAGE_END_MARK = r"--- END OF PAGE [0-9]+ ---"
 
@@ -65,12 +66,16 @@ ANNEX_HEADING = r"(?i)^(ANNEX|APPENDIX|ATTACHMENT)"
 ALL_CAPS_TITLE = rf"^[A-Z{JS_SPACE}]{{5,}}\z"
 ALL_CAPS_BREAK = rf"^[A-Z{JS_SPACE}]{{10,}}\z"
 DEFINITIONS_HEADING = r"(?i)^(DEFINITIONS?|TERMS)"
+CLOSING_LINE = "|".join(f"(?:{p})" for p in (
+    MAIN_HEADING, SUB_HEADING, NUMBERED_HEADING, ANNEX_HEADING, ALL_CAPS_BREAK))
+OPENING_LINE = "|".join(f"(?:{p})" for p in (
+    MAIN_HEADING, SUB_HEADING, NUMBERED_HEADING, ANNEX_HEADING, ALL_CAPS_TITLE, DEFINITIONS_HEADING))
 TOC_BANNER = "TABLE OF CONTENTS\n==================\n\n"
 
 # ---------------------------------------------------------------- fixed values: tags and footnotes
 TAGGED_BLOCK = r"(?s)<h>.*?</h>|<li>.*?</li>|<p>.*?</p>"
-TAGGED_BLOCK_ONE_LINE = (r"<h>[^\n\r\x{2028}\x{2029}]*?</h>|<li>[^\n\r\x{2028}\x{2029}]*?</li>"
-                         r"|<p>[^\n\r\x{2028}\x{2029}]*?</p>")
+TAGGED_BLOCK_ONE_LINE = (r"<h>[^\n\r\x{2028}-\x{2029}]*?</h>|<li>[^\n\r\x{2028}-\x{2029}]*?</li>"
+                         r"|<p>[^\n\r\x{2028}-\x{2029}]*?</p>")
 STRUCTURE_TAG = r"</?(h|li|p)>"
 NOTE_TAG = r"(?s)<fn>(.*?)</fn>"
 NOTE_TOKEN = r"__FOOTNOTE_REF_([0-9]+)__"
@@ -134,6 +139,8 @@ NUMBERED_HEAD = r"(?i)^(?:\p{Nd}+|[IVXLCDM]+)\.\z"
 NUMERAL = r"(?i)^(?:\p{Nd}+|[IVXLCDM]+)\z"
 ENUM_ITEM = rf"(?i)^{_ENUM}{_S}+{_NS}"
 ENUM_MARK = rf"(?i)^{_ENUM}\z"
+# Every marker and item form starts like this; a quick test that most lines fail.
+MARK_LIKE = r"^(?:\(|\p{Nd}|[a-zA-Z]+\.)"
 ITEM_START = r"(?i)^(\(?[a-z0-9]+\)|[a-z]{1,2}\.|[ivxlcdm]+\.|\p{Nd}+\.)"
 SPLIT_ITEM = rf"(?i)^(\p{{Nd}}+\.){_S}+(\([a-z]{{1,2}}\)){_S}+(.*)\z"
 KEY_AND_ID = (rf"(?i)^[a-zA-ZÁÉÍÓÚÑÜÇÀÂÊÎÔÛÄËÏÖÜáéíóúñüçàâêîôûäëïöü]+{_S}+[0-9IVXLCDM]+(?:\.[0-9]+)*"

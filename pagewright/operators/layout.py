@@ -36,21 +36,23 @@ def _heading(text: Column, token: Column) -> Column:
             .when(token.isin(P.TITLE_HEADINGS), P.HEADING_TITLE))
 
 
-def line_type(text: Column) -> Column:
-    """Type of a stripped line outside the preamble."""
-    low, token = F.lower(text), F.lower(first_token(text))
-    return (F.when(low == P.PREAMBLE_TITLE, P.PREAMBLE_HEAD)
-            .when(text.isin(P.PREAMBLE_INTROS), P.PREAMBLE_INTRO)
-            .when(low.isin(P.TRANSITIONS), P.TRANSITIONAL)
-            .when(_is_keyword(token) & _heading(text, token).isNotNull(), _heading(text, token))
-            .when(_hit(text, P.ENUM_MARK), P.ENUM_MARKER)
+def _item_type(text: Column) -> Column:
+    return (F.when(_hit(text, P.ENUM_MARK), P.ENUM_MARKER)
             .when(_hit(text, P.NUMBERED_HEAD), P.NUMBERED_PARA_HEAD)
             .when(_hit(text, P.NUMBER_MARK), P.NUM_MARKER)
             .when(_hit(text, P.QUOTED_NOTE), P.FOOTNOTE_BLOCK)
             .when(_hit(text, P.ENUM_ITEM), P.ENUM_LINE)
-            .when(_hit(text, P.NUMBERED_ITEM), P.NUMBERED_LINE)
-            .when(F.endswith(text, F.lit(":")), P.ENDS_COLON)
-            .otherwise(P.REGULAR))
+            .when(_hit(text, P.NUMBERED_ITEM), P.NUMBERED_LINE))
+
+
+def line_type(text: Column, low: Column, token: Column) -> Column:
+    """Type of a stripped line outside the preamble, given its lower case and lower first token."""
+    items = F.when(_hit(text, P.MARK_LIKE), _item_type(text))
+    rest = F.when(F.endswith(text, F.lit(":")), P.ENDS_COLON).otherwise(P.REGULAR)
+    return (F.when(low == P.PREAMBLE_TITLE, P.PREAMBLE_HEAD)
+            .when(text.isin(P.PREAMBLE_INTROS), P.PREAMBLE_INTRO)
+            .when(low.isin(P.TRANSITIONS), P.TRANSITIONAL)
+            .otherwise(F.coalesce(F.when(_is_keyword(token), _heading(text, token)), items, rest)))
 
 
 def _preamble_clause(text: Column, plain_type: Column) -> Column:
@@ -64,48 +66,47 @@ def _preamble_clause(text: Column, plain_type: Column) -> Column:
     return (~plain_type.isin(P.PREAMBLE_HEAD, P.PREAMBLE_INTRO, P.TRANSITIONAL)) & (opening | plain)
 
 
-def _typed(text: Column, line_no: Column, sub_no: int, kind: Column, clause: Column) -> Column:
-    return F.struct(line_no.alias("line_no"), F.lit(sub_no).alias("sub_no"), text.alias("text"),
-                    kind.alias("type"), clause.alias("clause"))
+def _line(line_no: Column, sub_no: int, text: Column, kind: Column) -> Column:
+    return F.struct(line_no.alias("line_no"), F.lit(sub_no).alias("sub_no"), text.alias("text"), kind.alias("type"))
+
+
+def _retyped(x: Column, text: Column, kind: Column) -> Column:
+    return F.struct(x["line_no"].alias("line_no"), x["sub_no"].alias("sub_no"), text.alias("text"), kind.alias("type"))
 
 
 def _classified(docs: DataFrame) -> DataFrame:
     """Adds ``_rows``: the kept lines with their final type, split lines as two entries."""
-    no = F.lit(False)
-
-    def entries(line: Column, line_no: Column) -> Column:
-        head, mark, rest = (py_strip(F.regexp_extract(line, P.SPLIT_ITEM, g)) for g in (1, 2, 3))
-        return F.when(_hit(line, P.SPLIT_ITEM), F.array(
-            _typed(head, line_no, 0, F.lit(P.SPLIT_MARKER_PARENT), no),
-            _typed(F.concat(mark, F.lit(" "), rest), line_no, 1, F.lit(P.ENUM_LINE), no)))
+    def entries(x: Column) -> Column:
+        head, mark, rest = (py_strip(F.regexp_extract(x["text"], P.SPLIT_ITEM, g)) for g in (1, 2, 3))
+        kind = line_type(x["text"], x["low"], F.lower(first_token(x["text"])))
+        return F.when(_hit(x["text"], P.MARK_LIKE) & _hit(x["text"], P.SPLIT_ITEM), F.array(
+            _line(x["line_no"], 0, head, F.lit(P.SPLIT_MARKER_PARENT)),
+            _line(x["line_no"], 1, F.concat(mark, F.lit(" "), rest), F.lit(P.ENUM_LINE)))
+        ).otherwise(F.array(_line(x["line_no"], 0, x["text"], kind)))
 
     stripped = F.transform(F.split("text", P.PY_LINE_BREAK, -1), lambda line, i: F.struct(
         i.alias("line_no"), py_strip(line).alias("text")))
     kept = F.filter(stripped, lambda x: (x["text"] != "") & ~_hit(x["text"], P.STANDALONE_NUMBER))
-    with_type = F.transform(kept, lambda x: F.struct(
-        x["line_no"].alias("line_no"), x["text"].alias("text"), line_type(x["text"]).alias("type")))
-    rows = F.flatten(F.transform(with_type, lambda x: F.coalesce(
-        entries(x["text"], x["line_no"]),
-        F.array(_typed(x["text"], x["line_no"], 0, x["type"], _preamble_clause(x["text"], x["type"]))))))
-    # What a line does to "inside the preamble": 1 enters, 0 leaves, - keeps. Each deciding line
-    # and the keeping lines behind it form one run, which carries the decision forward.
-    effect = F.array_join(F.transform("_lines", lambda x: F.when(
-        x["type"].isin(P.PREAMBLE_HEAD, P.PREAMBLE_INTRO), "1").when(x["clause"], "-").otherwise("0")), "")
-    inside = F.when(F.contains("_effect", F.lit("1")), F.flatten(F.transform(
-        F.regexp_extract_all("_effect", F.lit("^-+|[01]-*"), F.lit(0)),
+    lowered = F.transform(kept, lambda x: F.struct(
+        x["line_no"].alias("line_no"), x["text"].alias("text"), F.lower(x["text"]).alias("low")))
+    # What a line does to "inside the preamble": 1 enters, 0 leaves, - keeps. Each deciding line and
+    # the keeping lines behind it form one run, which carries the decision forward. Most documents
+    # have no line that enters, and for those nothing below is computed.
+    enters = F.exists("_lines", lambda x: x["type"].isin(P.PREAMBLE_HEAD, P.PREAMBLE_INTRO))
+    clause = F.when(enters, F.transform("_lines", lambda x: _preamble_clause(x["text"], x["type"])))
+    effect = F.array_join(F.transform(F.arrays_zip("_lines", "_clause"), lambda z: F.when(
+        z["_lines"]["type"].isin(P.PREAMBLE_HEAD, P.PREAMBLE_INTRO), "1").when(z["_clause"], "-").otherwise("0")), "")
+    inside = F.flatten(F.transform(
+        F.regexp_extract_all(effect, F.lit("^-+|[01]-*"), F.lit(0)),
         lambda run: F.array_repeat(F.startswith(run, F.lit("1")), F.length(run))))
-    ).otherwise(F.array().cast("array<boolean>"))
-    final = F.transform(F.arrays_zip("_lines", before("_inside").alias("inside")), lambda z: _retyped(
+    final = F.transform(F.arrays_zip("_lines", "_clause", before("_inside").alias("inside")), lambda z: _retyped(
         z["_lines"], z["_lines"]["text"],
-        F.when(z["_lines"]["clause"] & F.coalesce(z["inside"], F.lit(False)), P.PREAMBLE_CLAUSE)
-        .otherwise(z["_lines"]["type"])))
-    return (docs.withColumn("_lines", rows).withColumn("_effect", effect).withColumn("_inside", inside)
-            .withColumn("_rows", final).drop("_lines", "_effect", "_inside"))
-
-
-def _retyped(x: Column, text: Column, kind: Column) -> Column:
-    return F.struct(x["line_no"].alias("line_no"), x["sub_no"].alias("sub_no"), text.alias("text"),
-                    kind.alias("type"))
+        F.when(z["_clause"] & F.coalesce(z["inside"], F.lit(False)), P.PREAMBLE_CLAUSE).otherwise(z["_lines"]["type"])))
+    return (docs.withColumn("_lines", F.flatten(F.transform(lowered, entries)))
+            .withColumn("_clause", clause)
+            .withColumn("_inside", F.when(F.col("_clause").isNotNull(), inside))
+            .withColumn("_rows", F.when(F.col("_clause").isNotNull(), final).otherwise(F.col("_lines")))
+            .drop("_lines", "_clause", "_inside"))
 
 
 def _merged(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def section_kind(line: Column) -> Column:
     def hit(pattern: str) -> Column:
         return F.rlike(line, F.lit(pattern))
 
-    return (F.when(F.length(line) < 3, None)
+    return (F.when((F.length(line) < 3) | ~hit(P.OPENING_LINE), None)
             .when(hit(P.MAIN_HEADING), kind("heading", 1)).when(hit(P.ANNEX_HEADING), kind("annex", 1))
             .when(hit(P.SUB_HEADING) | hit(P.NUMBERED_HEADING), kind("section", 2))
             .when((F.length(line) > 10) & hit(P.ALL_CAPS_TITLE), kind("heading", 1))
@@ -28,11 +28,7 @@ def section_kind(line: Column) -> Column:
 
 def closes_section(line: Column) -> Column:
     """Whether a trimmed line ends the section above it (a narrower rule than opening one)."""
-    patterns = [P.MAIN_HEADING, P.SUB_HEADING, P.NUMBERED_HEADING, P.ANNEX_HEADING, P.ALL_CAPS_BREAK]
-    found = F.lit(False)
-    for pattern in patterns:
-        found = found | F.rlike(line, F.lit(pattern))
-    return (F.length(line) >= 3) & found
+    return (F.length(line) >= 3) & F.rlike(line, F.lit(P.CLOSING_LINE))
 
 
 def heading_marks(docs: DataFrame) -> DataFrame:
@@ -40,12 +36,12 @@ def heading_marks(docs: DataFrame) -> DataFrame:
 
     Found inside the document row, so only these few lines leave it for the window stage.
     """
+    trimmed = F.transform("_lines", lambda line, i: F.struct(i.alias("at"), js_trim(line).alias("title")))
+    judged = F.transform(trimmed, lambda x: F.struct(
+        x["at"].alias("at"), x["title"].alias("title"), section_kind(x["title"]).alias("kind"),
+        closes_section(x["title"]).alias("closes")))
     found = (docs.select("doc_id", lines(F.col("text")).alias("_lines"))
-             .withColumn("_marks", F.filter(
-                 F.transform("_lines", lambda line, i: F.struct(
-                     i.alias("at"), js_trim(line).alias("title"), section_kind(js_trim(line)).alias("kind"),
-                     closes_section(js_trim(line)).alias("closes"))),
-                 lambda mark: mark["kind"].isNotNull() | mark["closes"]))
+             .withColumn("_marks", F.filter(judged, lambda mark: mark["kind"].isNotNull() | mark["closes"]))
              .withColumn("_words", F.transform("_lines", word_count)))
     with_next = F.arrays_zip(F.col("_marks").alias("mark"), ahead("_marks", 1).alias("following"))
     stretch = F.transform(with_next, lambda z: F.struct(

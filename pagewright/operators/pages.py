@@ -49,11 +49,15 @@ def quality_flags(trimmed: Column) -> dict[str, Column]:
 def page_quality(pages: DataFrame, text: str = "text") -> DataFrame:
     """Non-empty pages with their quality flags and ``is_problem``; row-local."""
     flags = quality_flags(F.col("_t"))
-    checked = (pages.withColumn("_t", js_trim(F.col(text))).filter(F.col("_t") != "")
-               .withColumns(flags).drop("_t"))
+    checked = _not_blank(pages, text).withColumn("_t", js_trim(F.col(text))).withColumns(flags).drop("_t")
     return checked.withColumn("is_problem", _any(flags))
 
 
+def _not_blank(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Pages with any visible character, which a search finds at the start of the text."""
+    return pages.filter(F.rlike(text, F.lit(f"[^{P.JS_SPACE}]")))
+
+
 def _any(names) -> Column:
     found = F.lit(False)
     for name in names:
@@ -61,19 +65,33 @@ def _any(names) -> Column:
     return found
 
 
+def _issue_names() -> Column:
+    flag = quality_flags(F.col("_t"))
+    return F.concat_ws(
+        ", ",
+        F.when(flag["short"], P.ISSUE_SHORT), F.when(flag["odd_breaks"], P.ISSUE_ODD_BREAKS),
+        F.when(flag["missing_spaces"], P.ISSUE_MISSING_SPACES),
+        F.when(flag["special_chars"], P.ISSUE_SPECIAL_CHARS), F.when(flag["fragmented"], P.ISSUE_FRAGMENTED))
+
+
 def issue_report(pages: DataFrame) -> DataFrame:
     """One line per problem page, naming its issues."""
-    names = F.concat_ws(
-        ", ",
-        F.when(F.col("short"), P.ISSUE_SHORT), F.when(F.col("odd_breaks"), P.ISSUE_ODD_BREAKS),
-        F.when(F.col("missing_spaces"), P.ISSUE_MISSING_SPACES),
-        F.when(F.col("special_chars"), P.ISSUE_SPECIAL_CHARS), F.when(F.col("fragmented"), P.ISSUE_FRAGMENTED))
-    return page_quality(pages).filter("is_problem").select(
-        *KEYS, F.concat(F.lit("Página "), F.col("page_no").cast("string"), F.lit(": "), names).alias("report"))
+    return _with_issues(pages, _issue_names()).select(
+        *KEYS, F.concat(F.lit("Página "), F.col("page_no").cast("string"), F.lit(": "), F.col("issues")).alias("report"))
+
+
+def _with_issues(pages: DataFrame, issues: Column) -> DataFrame:
+    """Pages for which ``issues`` (over the trimmed text ``_t``) is not empty.
+
+    Filtering inside an array keeps the test next to the value; a plain filter would be pushed down
+    and judge every page a second time.
+    """
+    trimmed = _not_blank(pages).select(*KEYS, js_trim(F.col("text")).alias("_t"))
+    return unnest(trimmed, KEYS, F.filter(F.array(issues), lambda found: found != ""), "issues").drop("_pos")
 
 
 def local_problem_pages(pages: DataFrame) -> DataFrame:
-    return page_quality(pages).filter("is_problem").select(*KEYS)
+    return _with_issues(pages, _issue_names()).select(*KEYS)
 
 
 def problem_pages(pages: DataFrame, flag_replies: DataFrame | None = None) -> DataFrame:
@@ -97,9 +115,7 @@ def fallback_criteria(pages: DataFrame) -> DataFrame:
         F.when(F.contains(t, F.lit("□")) | F.contains(t, F.lit("■")), P.FALLBACK_PLACEHOLDER),
         F.when(F.rlike(F.left(t, F.lit(100)), F.lit(r"[^\x00-\x7F]")), P.FALLBACK_NON_ASCII))
     # Only the issue text travels to the join, not the page text.
-    candidates = (pages.select(*KEYS, js_trim(F.col("text")).alias("_t")).filter(t != "")
-                  .select(*KEYS, issues.alias("issues")).filter("issues <> ''"))
-    return candidates.join(flagged, "doc_id", "left_anti")
+    return _with_issues(pages, issues).join(flagged, "doc_id", "left_anti")
 
 
 def probe_text(docs: DataFrame) -> DataFrame:

@@ -5,77 +5,127 @@ whole history in a task. Instead every (user, time slice) is solved for each way
 entered - the carry only matters for the first event taken, and that lies within ``gap`` ms of
 the slice start or is the first event at all. These small tables are chained per user, and a
 second pass replays each slice from its true entry. Events of one user in the same millisecond
-are reduced to the first beforehand, so a slice of ``slice_ms`` holds at most that many events.
+are reduced to the first beforehand, so a slice holds at most ``slice_ms`` events.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .slices import SLICE, sliced
 
 GAP_MS = 1000
+HOUR_MS = 3_600_000
+
+# Ship the helpers below with the tasks, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches regrouped so that no (key, slice) is cut, with the start index of each."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        starts = _starts(held, key)
+        if len(starts) > 1:
+            yield held.iloc[:starts[-1]], starts[:-1]
+            held = held.iloc[starts[-1]:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, _starts(held, key)
+
 
+def _starts(pdf: pd.DataFrame, key: str) -> np.ndarray:
+    keys, slices = pdf[key].to_numpy(), pdf[SLICE].to_numpy()
+    change = (keys[1:] != keys[:-1]) | (slices[1:] != slices[:-1])
+    return np.flatnonzero(np.append(True, change)) if len(pdf) else np.array([], dtype=int)
 
-def _next_index(at: np.ndarray, gap: int) -> np.ndarray:
-    return np.searchsorted(at, at + gap, side="left")
 
+def _follow(at: np.ndarray, starts: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the next event at least ``gap`` later, and the end of each event's own group."""
+    sizes = np.diff(np.append(starts, len(at)))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    ends = np.repeat(starts + sizes, sizes)
+    # One coordinate for all groups: local time, groups further apart than any gap.
+    local = at - np.repeat(at[starts], sizes)
+    along = local + group * (int(local.max(initial=0)) + 2 * gap)
+    return np.minimum(np.searchsorted(along, along + gap, side="left"), ends), ends
 
-def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = 600_000) -> DataFrame:
-    """Events that pass, from ``key, event_id, at_ms``; ties within a millisecond go to the lowest id."""
+
+def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOUR_MS) -> DataFrame:
+    """Events that pass, from ``key, event_id, at_ms``; ties within a millisecond go to the lowest id.
+
+    Keys are not NULL and times not negative.
+    """
     if slice_ms <= gap:
         raise ValueError("a slice must be longer than the gap")
     firsts = sliced(events.groupBy(key, "at_ms").agg(F.min("event_id").alias("event_id")), F.col("at_ms"), slice_ms)
     kind = dict(events.dtypes)[key]
 
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each possible first event of the slice, the last one that passes."""
-        at = np.sort(pdf["at_ms"].to_numpy())
-        follow = _next_index(at, gap)
-        last = at.copy()
-        for i in range(len(at) - 1, -1, -1):
-            if follow[i] < len(at):
-                last[i] = last[follow[i]]
-        slice_no = int(pdf[SLICE].iloc[0])
-        reach = max(1, int(np.searchsorted(at, slice_no * slice_ms + gap, side="right")) + 1)
-        # Neighbouring entries mostly lead to the same end; one row per run of them is enough.
-        last = last[:reach]
-        closing = np.append(last[1:] != last[:-1], True)
-        return pd.DataFrame({key: pdf[key].iloc[0], SLICE: slice_no, "up_to": [at[:reach][closing].tolist()],
-                             "last_at": [last[closing].tolist()]})
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at_ms", ignore_index=True)
-        at = pdf["at_ms"].to_numpy()
-        follow = _next_index(at, gap)
-        carried = pdf["carried"].iloc[0]
-        i = 0 if pd.isna(carried) else int(np.searchsorted(at, int(carried) + gap, side="left"))
-        taken = []
-        while i < len(at):
-            taken.append(i)
-            i = follow[i]
-        return pdf.loc[taken, [key, "event_id", "at_ms"]]
-
-    table = firsts.groupBy(key, SLICE).applyInPandas(
-        entries, f"{key} {kind}, {SLICE} bigint, up_to array<bigint>, last_at array<bigint>")
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each possible first event of a slice, the last one that passes."""
+        for pdf, starts in _groups(batches, key):
+            at, slices = pdf["at_ms"].to_numpy(), pdf[SLICE].to_numpy()
+            follow, ends = _follow(at, starts, gap)
+            jump = np.where(follow < ends, follow, np.arange(len(at)))
+            while True:  # doubling: after k rounds 2^k events are skipped
+                further = jump[jump]
+                if np.array_equal(further, jump):
+                    break
+                jump = further
+            last = at[jump]
+            # Entry candidates: the first event, those the carry can still reach, and the one behind.
+            reachable = at < slices * slice_ms + gap
+            candidate = reachable | np.append(True, reachable[:-1])
+            candidate[starts] = True
+            # Neighbouring candidates mostly lead to the same end; the last of each run stands for it.
+            final = np.append(ends[:-1] != ends[1:], True) | ~np.append(candidate[1:], False)
+            closing = np.flatnonzero(candidate & (final | (last != np.append(last[1:], -1))))
+            rows = pd.DataFrame({key: pdf[key].to_numpy()[closing], SLICE: slices[closing], "up_to": at[closing],
+                                 "last_at": last[closing]})
+            yield rows
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _groups(batches, key):
+            at, carried = pdf["at_ms"].to_numpy(), pdf["carried"].to_numpy()
+            follow, ends = _follow(at, starts, gap)
+            blocked = (at < carried + gap) & (carried >= 0)
+            current = starts + np.add.reduceat(blocked.astype(int), starts)
+            ends = ends[starts]
+            taken = np.zeros(len(at), dtype=bool)
+            while True:  # one step of every group at a time
+                alive = current < ends
+                current, ends = current[alive], ends[alive]
+                if not len(current):
+                    break
+                taken[current] = True
+                current = follow[current]
+            yield pdf.loc[taken, [key, "event_id", "at_ms"]]
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition(key, SLICE).sortWithinPartitions(key, SLICE, "at_ms")
+
+    table = in_order(firsts).mapInPandas(entries, f"{key} {kind}, {SLICE} bigint, up_to bigint, last_at bigint")
 
     # Chain the slice tables of a user in time order, keeping the carry that enters each.
     def step(state, entry):
         carried = state["last"]
-        index = F.when(carried.isNull(), F.lit(0)).otherwise(
-            F.size(F.filter(entry["up_to"], lambda at: at < carried + gap)))
-        last = F.coalesce(F.get(entry["last_at"], index), carried)
+        index = F.size(F.filter(entry["ends"], lambda end: end["up_to"] < carried + gap))
+        last = F.coalesce(F.get(entry["ends"], F.when(carried < 0, F.lit(0)).otherwise(index))["last_at"], carried)
         entered = F.struct(entry[SLICE].alias(SLICE), carried.alias("carried"))
         return F.struct(last.alias("last"), F.array_append(state["entered"], entered).alias("entered"))
 
-    start = F.struct(F.lit(None).cast("bigint").alias("last"),
+    start = F.struct(F.lit(-1).cast("bigint").alias("last"),
                      F.array().cast(f"array<struct<{SLICE}:bigint,carried:bigint>>").alias("entered"))
-    chained = (table.groupBy(key)
-               .agg(F.array_sort(F.collect_list(F.struct(SLICE, "up_to", "last_at"))).alias("_slices"))
+    per_slice = table.groupBy(key, SLICE).agg(F.array_sort(F.collect_list(F.struct("up_to", "last_at"))).alias("ends"))
+    chained = (per_slice.groupBy(key)
+               .agg(F.array_sort(F.collect_list(F.struct(SLICE, "ends"))).alias("_slices"))
                .select(key, F.explode_outer(F.aggregate("_slices", start, step)["entered"]).alias("e"))
                .select(key, "e.*"))
-    return firsts.join(chained, [key, SLICE]).groupBy(key, SLICE).applyInPandas(
-        replay, f"{key} {kind}, event_id bigint, at_ms bigint")
+    return in_order(firsts.join(chained, [key, SLICE])).mapInPandas(replay, f"{key} {kind}, event_id bigint, at_ms bigint")

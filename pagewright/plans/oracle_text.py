@@ -194,7 +194,7 @@ UNION SELECT doc_id, 1 FROM documents WHERE doc_id % 3 = 0)"""
 PROBLEM_PAGES = f"WITH {QUALITY}, {FLAGGED} SELECT doc_id, page_no FROM flagged"
 
 _BLOCK = r"(?s)---(CHANGES MADE|OCR ANALYSIS)---(.*?)---END (CHANGES|ANALYSIS)---"
-CORRECTED = f"""{QUALITY}, {FLAGGED}, {REPLIES}, merged AS (
+CORRECTED = f"""{QUALITY}, {FLAGGED}, {REPLIES}, paired AS (
 SELECT d.doc_id, d.text, f.doc_id IS NOT NULL AS listed, r.reply, length({js_trim('d.text')}) AS n,
   length(d.text) > 50 AS has_text
 FROM documents d LEFT JOIN flagged f USING (doc_id) LEFT JOIN replies r USING (doc_id)),
@@ -209,7 +209,7 @@ CASE WHEN listed AND reply IS NOT NULL THEN CASE
 CASE WHEN listed AND reply IS NOT NULL THEN CASE WHEN NOT has_text THEN {q(P.NOTE_ANALYSIS_MISSING)}
   WHEN {hit('reply', '(?s)' + P.CHANGES_BLOCK)} THEN {js_trim(f"regexp_extract(reply, {q('(?s)' + P.CHANGES_BLOCK)}, 1)")}
   WHEN contains(reply, {q(P.CHANGES_NONE)}) THEN {q(P.NOTE_NO_CHANGES)} ELSE {q(P.NOTE_CHANGES_MISSING)} END END AS changes
-FROM merged)"""
+FROM paired)"""
 CORRECTIONS_APPLIED = f"WITH {CORRECTED} SELECT doc_id, page_no, status, method, text, changes FROM corrected"
 PAGE_METHOD_COUNTS = f"""WITH {CORRECTED} SELECT count(*) AS pages_analyzed,
 count(*) FILTER (WHERE method = 'AI OCR') AS ocr_pages,
@@ -431,3 +431,7 @@ ALIGN_RENDER = f"WITH {_MERGED}, {rendered('legal_docs', 'merged', 'aligned')} S
 PIPELINE_TEXT = f"""WITH {FOOTNOTE_DOCS}, {renumbered('footnote_docs', 'renumbered')},
 {classified('renumbered', 'typed')}, {merged('typed', 'merged')}, {rendered('renumbered', 'merged', 'aligned')},
 {without_number_lines('aligned', 'cleaned')} SELECT doc_id, text FROM cleaned"""
+DOCUMENT_PIPELINE = f"""WITH {CORRECTED}, source_docs AS (SELECT doc_id, text FROM corrected),
+{renumbered('source_docs', 'renumbered')}, {classified('renumbered', 'typed')}, {merged('typed', 'merged')},
+{rendered('renumbered', 'merged', 'aligned')}, {without_number_lines('aligned', 'cleaned')}
+SELECT doc_id, 0::BIGINT AS part_no, text FROM cleaned"""

@@ -11,7 +11,7 @@ from ..operators import footnotes, layout, outline, pages, tags
 from ..operators.chunks import page_chunks as chunk_pages, text_chunks as chunk_text
 from ..session import spread, table
 from . import derived, oracle_text
-from .pipeline import clean_text
+from .pipeline import clean_text, correct_pages, process_documents
 
 
 def page_quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +93,8 @@ def problem_pages(spark, sf_dir):
 
 
 def _corrected(spark, sf_dir) -> DataFrame:
-    source = derived.document_pages(spark, sf_dir)
-    listed = pages.problem_pages(source, derived.page_flags(spark, sf_dir))
-    return pages.apply_corrections(pages.mark_problem_pages(pages.route_pages(source), listed),
-                                   derived.replies(spark, sf_dir))
+    return correct_pages(derived.document_pages(spark, sf_dir), derived.replies(spark, sf_dir),
+                         derived.page_flags(spark, sf_dir))
 
 
 def corrections_applied(spark, sf_dir):
@@ -193,11 +191,17 @@ def pipeline_text(spark, sf_dir):
     return clean_text(derived.footnote_docs(spark, sf_dir))
 
 
+def document_pipeline(spark, sf_dir):
+    """Pages with replies, all the way to clean text."""
+    return process_documents(derived.document_pages(spark, sf_dir), derived.replies(spark, sf_dir),
+                             derived.page_flags(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     page_quality_by_lang, page_issue_report, page_fallback_criteria, document_probe, page_routing, page_scan,
     doc_statistics, consolidate_pages, page_split_roundtrip, page_chunks, text_chunks, previews_and_sizes,
     problem_pages, corrections_applied, page_method_counts, pages_to_resume, outline_sections, outline_content,
     outline_summary, outline_toc, outline_filter, tag_blocks, tag_block_join, footnote_tagging, footnote_renumber,
     footnote_entries, footnote_pages, footnote_page_list, drop_number_lines, align_line_types, align_merge,
-    align_render, pipeline_text)}
+    align_render, pipeline_text, document_pipeline)}
 ORACLES = {name: getattr(oracle_text, name.upper()) for name in QUERIES}
