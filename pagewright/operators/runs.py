@@ -17,38 +17,40 @@ def step_durations(events: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     """Timed occurrences of steps from ``run_id, event_id, ts, step_id, action`` (start / stop).
 
     A start closes whatever step is active. A stop sets the end of the latest occurrence of its
-    step, the last stop winning. The next start of a run and the number of an occurrence are found
-    per time slice and carried over slices by one summary row each, so a run may be of any length.
+    step, the last stop winning. An occurrence is identified by the event that started it.
+
+    A run may be of any length: both looks along it (the start that follows, the start a stop
+    belongs to) are taken within time slices, and carried over slices by summary rows. The rows
+    themselves are shuffled by (run, slice) once, and once more to meet their start.
     """
     at = F.struct("at_ms", "event_id")
-    start = F.col("action") == "start"
+    start = F.when(F.col("action") == "start", at)
     rows = sliced(events.select("run_id", "event_id", "step_id", "action", epoch_ms(F.col("ts")).alias("at_ms")),
                   F.col("at_ms"), slice_ms)
 
-    # The start that follows the slice, per run.
-    next_slice = (summaries(rows.filter(start), ["run_id"], F.min(at).alias("_first"))
-                  .select("run_id", SLICE, F.lead("_first").over(across(["run_id"])).alias("_later_start")))
-    # Starts of the same step in earlier slices, per run and step.
-    seen = (summaries(rows, ["run_id", "step_id"], F.count_if(start).alias("_n"))
-            .select("run_id", "step_id", SLICE,
-                    (F.sum("_n").over(across(["run_id", "step_id"])) - F.col("_n")).alias("_seen")))
-
-    in_run = within(["run_id"], ["at_ms", "event_id"])
-    in_step = within(["run_id", "step_id"], ["at_ms", "event_id"])
-    numbered = (with_summary(rows, seen, ["run_id", "step_id"])
-                .withColumn("_occurrence", F.col("_seen") + F.count_if(start).over(in_step.rowsBetween(Window.unboundedPreceding, 0)))
-                .filter(F.col("_occurrence") > 0))
-    starts = with_summary(numbered.filter(start), next_slice, ["run_id"]).withColumn(
-        "_next", F.coalesce(F.lead(at).over(in_run), F.col("_later_start")))
-    events_of_step = starts.select("run_id", "step_id", "_occurrence", "at_ms", "event_id", "_next", "action").union(
-        numbered.filter(~start).select("run_id", "step_id", "_occurrence", "at_ms", "event_id",
-                                       F.lit(None).cast("struct<at_ms:bigint,event_id:bigint>"), "action"))
-    end = F.coalesce(F.max(F.when(~start, F.col("at_ms"))), F.max(F.when(start, F.col("_next.at_ms"))))
-    return (events_of_step.groupBy("run_id", "step_id", "_occurrence").agg(
-        F.max(F.when(start, F.col("at_ms"))).alias("start_ms"), F.max(F.when(start, F.col("event_id"))).alias("event_id"),
-        end.alias("end_ms"))
-        .select("run_id", "step_id", F.col("_occurrence").alias("occurrence"), "event_id", "start_ms", "end_ms",
-                (F.col("end_ms") - F.col("start_ms")).alias("duration_ms")))
+    per_step = summaries(rows, ["run_id", "step_id"], F.min(start).alias("_first"), F.max(start).alias("_last"))
+    earlier = across(["run_id", "step_id"]).rowsBetween(Window.unboundedPreceding, -1)
+    later = across(["run_id"]).rowsBetween(1, Window.unboundedFollowing)
+    # Per run and slice: the last start of each step before it, and the first start of any step behind it.
+    carried = (per_step.withColumn("_before", F.max("_last").over(earlier))
+               .groupBy("run_id", SLICE).agg(
+                   F.min("_first").alias("_first"),
+                   F.map_from_entries(F.collect_list(F.struct("step_id", "_before"))).alias("_before"))
+               .withColumn("_behind", F.min("_first").over(later)).drop("_first"))
+
+    following = within(["run_id"], ["at_ms", "event_id"]).rowsBetween(1, Window.unboundedFollowing)
+    so_far = within(["run_id", "step_id"], ["at_ms", "event_id"]).rowsBetween(Window.unboundedPreceding, 0)
+    owned = (with_summary(rows, carried, ["run_id"])
+             .withColumn("_next", F.coalesce(F.first(start, ignorenulls=True).over(following), F.col("_behind")))
+             .withColumn("_own", F.coalesce(F.last(start, ignorenulls=True).over(so_far),
+                                            F.try_element_at("_before", F.col("step_id"))))
+             .filter(F.col("_own").isNotNull()))
+    stop = F.col("action") != "start"
+    end = F.coalesce(F.max(F.when(stop, F.col("at_ms"))), F.max(F.when(~stop, F.col("_next.at_ms"))))
+    return (owned.groupBy("run_id", "step_id", "_own").agg(end.alias("end_ms"))
+            .select("run_id", "step_id", F.col("_own.event_id").alias("event_id"),
+                    F.col("_own.at_ms").alias("start_ms"), "end_ms",
+                    (F.col("end_ms") - F.col("_own.at_ms")).alias("duration_ms")))
 
 
 def step_averages(durations: DataFrame) -> DataFrame:
@@ -62,22 +64,22 @@ def step_averages(durations: DataFrame) -> DataFrame:
 def step_eta(durations: DataFrame, progress: DataFrame, as_of_ms: Column, total_steps: int = 4) -> DataFrame:
     """Estimated time left per run, from its latest occurrence of each step.
 
-    ``progress(run_id, step_id, occurrence, progress_pct)`` gives the progress of occurrences.
+    ``progress(run_id, event_id, progress_pct)`` gives the progress of occurrences by their starting event.
     """
     at = F.struct("start_ms", "event_id")
     timers = durations.groupBy("run_id", "step_id").agg(F.max_by(
-        F.struct("occurrence", "start_ms", "end_ms", "duration_ms", "event_id"), at).alias("t")).select(
+        F.struct("start_ms", "end_ms", "duration_ms", "event_id"), at).alias("t")).select(
         "run_id", "step_id", "t.*")
     finished = F.col("end_ms").isNotNull() & (F.col("duration_ms") > 0)
     runs = timers.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("known_steps"),
         F.avg(F.when(finished, F.col("duration_ms"))).alias("_mean"),
-        F.max_by(F.struct("step_id", "occurrence", "start_ms"),
+        F.max_by(F.struct("step_id", "event_id", "start_ms"),
                  F.when(F.col("end_ms").isNull(), at)).alias("active"))
     joined = runs.select(
         "run_id", "known_steps", "_mean", F.col("active.step_id").alias("step_id"),
-        F.col("active.occurrence").alias("occurrence"), F.col("active.start_ms").alias("start_ms")
-    ).join(progress, ["run_id", "step_id", "occurrence"], "left")
+        F.col("active.event_id").alias("event_id"), F.col("active.start_ms").alias("start_ms")
+    ).join(progress, ["run_id", "event_id"], "left")
     elapsed = (as_of_ms - F.col("start_ms")).cast("double")
     total = elapsed / F.nullif(F.col("progress_pct") / 100, F.lit(0.0))
     left = (total - elapsed) + (total_steps - F.col("known_steps")) * F.coalesce("_mean", total)
@@ -107,8 +109,8 @@ def task_lookup(requests: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ progress
-def progress(runs: DataFrame, as_of_ms: Column) -> DataFrame:
-    """Percentage, speed and remaining time of ``run_id, done, total, start_ms``."""
+def progress(runs: DataFrame, as_of_ms: Column, *further: Column) -> DataFrame:
+    """Percentage, speed and remaining time of ``run_id, done, total, start_ms``, and further columns."""
     done, total = F.col("done"), F.col("total")
     elapsed = as_of_ms - F.col("start_ms")
     known = (done > 0) & (elapsed > 1000)
@@ -118,7 +120,8 @@ def progress(runs: DataFrame, as_of_ms: Column) -> DataFrame:
         F.when(known, round_half_up(speed, 2)).otherwise(0.0).alias("speed"),
         F.when(known, duration_words((total - done) / F.nullif(speed, F.lit(0.0)) * 1000))
         .otherwise(P.CALCULATING).alias("eta"),
-        duration_words(elapsed).alias("elapsed"), expected_minutes(total).alias("expected_minutes"))
+        duration_words(elapsed).alias("elapsed"), expected_minutes(total).alias("expected_minutes"),
+        *further)
 
 
 def blended_progress(done: Column, total: Column, open_pages: Column, is_reformatting: Column) -> Column:

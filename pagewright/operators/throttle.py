@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .slices import SLICE, sliced
+from .slices import SLICE, sliced, within
 
 GAP_MS = 1000
 HOUR_MS = 3_600_000
@@ -65,7 +65,9 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
     """
     if slice_ms <= gap:
         raise ValueError("a slice must be longer than the gap")
-    firsts = sliced(events.groupBy(key, "at_ms").agg(F.min("event_id").alias("event_id")), F.col("at_ms"), slice_ms)
+    # One shuffle by (key, slice) serves the reduction, both passes and the join between them.
+    firsts = (sliced(events.select(key, "event_id", "at_ms"), F.col("at_ms"), slice_ms).repartition(key, SLICE)
+              .groupBy(key, SLICE, "at_ms").agg(F.min("event_id").alias("event_id")))
     kind = dict(events.dtypes)[key]
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,7 +111,8 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
             yield pdf.loc[taken, [key, "event_id", "at_ms"]]
 
     def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition(key, SLICE).sortWithinPartitions(key, SLICE, "at_ms")
+        """Whole slices in time order. The window makes that a requirement no later planning may undo."""
+        return df.withColumn("_at", F.row_number().over(within([key], ["at_ms"])))
 
     table = in_order(firsts).mapInPandas(entries, f"{key} {kind}, {SLICE} bigint, up_to bigint, last_at bigint")
 

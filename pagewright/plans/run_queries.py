@@ -76,19 +76,17 @@ def step_averages(spark, sf_dir):
 
 
 def step_eta(spark, sf_dir):
-    durations = _durations(spark, sf_dir)
-    progress = durations.select("run_id", "step_id", "occurrence",
-                                (F.col("event_id") % 101).cast("double").alias("progress_pct"))
-    return runs.step_eta(durations, progress, as_of())
+    started = derived.step_events(spark, sf_dir).filter(F.col("action") == "start")
+    progress = started.select("run_id", "event_id", (F.col("event_id") % 101).cast("double").alias("progress_pct"))
+    return runs.step_eta(_durations(spark, sf_dir), progress, as_of())
 
 
 def progress_eta(spark, sf_dir):
     users = derived.events(spark, sf_dir).groupBy(F.col("user_id").alias("run_id")).agg(
         F.count_if(F.col("event_type") == "view").alias("done"), F.count(F.lit(1)).alias("total"),
         F.min(epoch_ms(F.col("ts"))).alias("start_ms"), F.count_if(F.col("event_type") == "error").alias("open_pages"))
-    blended = users.select("run_id", F.floor(runs.blended_progress(
-        F.col("done"), F.col("total"), F.col("open_pages"), F.col("run_id") % 9 == 0) + 0.5).cast("long").alias("blended"))
-    return runs.progress(users, as_of()).join(blended, "run_id")
+    blended = runs.blended_progress(F.col("done"), F.col("total"), F.col("open_pages"), F.col("run_id") % 9 == 0)
+    return runs.progress(users, as_of(), F.floor(blended + 0.5).cast("long").alias("blended"))
 
 
 def task_status(spark, sf_dir):

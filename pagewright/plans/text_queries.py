@@ -131,12 +131,11 @@ def outline_toc(spark, sf_dir):
 
 
 def outline_filter(spark, sf_dir):
-    """Annexes out; of the other sections every fourth is toggled once and its successor twice."""
+    """Annexes out; of the other sections three are toggled once and one twice."""
     docs = derived.legal_docs(spark, sf_dir)
     found = outline.sections(docs)
-    clicks = found.select("doc_id", "section_no", F.explode(F.when(F.col("section_no") % 4 == 1, F.array(F.lit(1)))
-                                                            .when(F.col("section_no") % 4 == 2, F.array(F.lit(1), F.lit(2))))
-                          .alias("click"))
+    clicks = derived.documents(spark, sf_dir).select(
+        "doc_id", F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 2, 2, 5, 9)])).alias("section_no"))
     filtered = outline.exclude_sections(docs, found, annexes=True, ids=outline.toggled(clicks))
     named = outline.filtered_files(filtered, F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".PDF")))
     return named.select("doc_id", "excluded_annexes", "excluded_sections", "kept_lines", "text", "file_name")

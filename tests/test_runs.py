@@ -103,8 +103,8 @@ def test_step_durations(spark):
     frame = steps(spark, (0, "a", "start"), (5000, "b", "start"), (9000, "a", "stop"), (20_000, "c", "start"),
                   (30_000, "a", "start"), (31_000, "a", "stop"), (40_000, "d", "stop"))
     for width in (1000, 10_000, 3_600_000):
-        got = {(r.step_id, r.occurrence): r.duration_ms for r in runs.step_durations(frame, width).collect()}
-        assert got == {("a", 1): 9000, ("b", 1): 15_000, ("c", 1): 10_000, ("a", 2): 1000}
+        got = {(r.step_id, r.event_id): r.duration_ms for r in runs.step_durations(frame, width).collect()}
+        assert got == {("a", 0): 9000, ("b", 1): 15_000, ("c", 3): 10_000, ("a", 4): 1000}
 
 
 def test_task_lookup(spark):
