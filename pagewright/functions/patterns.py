@@ -22,7 +22,8 @@ PY_SPACE_CHARS = _members((0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0),
                           (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 
 # Line breaks recognised by Python's universal splitting.
-PY_LINE_BREAK = r"\r\n|[\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+PY_LINE_BREAK = r"\r\n|[\x{a}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}-\x{2029}]"
+PY_LINE_BREAK_CHARS = _members((0xA, 0xD), (0x1C, 0x1E), (0x85, 0x85), (0x2028, 0x2029))
 
 # ---------------------------------------------------------------- fixed values: page quality
 ODD_LINE_BREAK = r"\w\n\w"

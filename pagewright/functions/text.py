@@ -24,9 +24,10 @@ def lines(text: Column) -> Column:
 
 def universal_lines(text: Column) -> Column:
     """Pieces between any line break; a final empty line is dropped."""
-    parts = F.split(text, P.PY_LINE_BREAK, -1)
-    closed = F.rlike(text, F.lit(f"({P.PY_LINE_BREAK})\\z")) | (text == "")
-    return F.when(closed, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    closing = F.when(F.endswith(text, F.lit("\r\n")), 2).when(
+        F.right(text, F.lit(1)).isin(list(P.PY_LINE_BREAK_CHARS)), 1).otherwise(0)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(F.left(text, F.length(text) - closing), P.PY_LINE_BREAK, -1))
 
 
 def word_count(text: Column) -> Column:

@@ -24,16 +24,20 @@ def _hit(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(pattern))
 
 
+def _one_of(token: Column, words: list[str]) -> Column:
+    """Membership in a fixed word list, as one folded constant."""
+    return F.array_contains(F.split(F.lit(" ".join(words)), " "), token)
+
+
 def _is_keyword(token: Column) -> Column:
-    return token.isin(sorted({*P.UPPER_HEADINGS, *P.TITLE_HEADINGS}))
+    return _one_of(token, sorted({*P.UPPER_HEADINGS, *P.TITLE_HEADINGS}))
 
 
 def _heading(text: Column, token: Column) -> Column:
-    """Heading type of a line that starts with a keyword, else NULL."""
+    """Heading type of a line that starts with a keyword; NULL for an ambiguous word in running text."""
     lone = (F.lower(text) == token) | _hit(text, P.KEY_AND_ID)
-    ambiguous = token.isin(P.AMBIGUOUS_HEADINGS) & ~lone
-    return (F.when(ambiguous, None).when(token.isin(P.UPPER_HEADINGS), P.HEADING_UPPER)
-            .when(token.isin(P.TITLE_HEADINGS), P.HEADING_TITLE))
+    return F.when(_one_of(token, P.AMBIGUOUS_HEADINGS) & ~lone, None).otherwise(
+        F.when(_one_of(token, P.UPPER_HEADINGS), P.HEADING_UPPER).otherwise(P.HEADING_TITLE))
 
 
 def _item_type(text: Column) -> Column:
