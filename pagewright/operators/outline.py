@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions.formats import filtered_name
 from ..functions.text import ahead, js_trim, lines, preview, word_count
 from .rows import unnest
+from .slices import passed
 
 
 def section_kind(line: Column) -> Column:
@@ -58,8 +59,8 @@ def heading_marks(docs: DataFrame) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """One row per section: number, title, level, type, line range (from 1) and words."""
     order = Window.partitionBy("doc_id").orderBy("at")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = passed(Window.partitionBy("doc_id").orderBy(F.desc("at")))
+    before = passed(order)
     opens = F.col("kind").isNotNull()
     # Words before this mark, and before the mark that ends its section.
     total = F.coalesce(F.sum("words").over(before), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.formats import duration_clock, duration_words, epoch_ms, expected_minutes, percent, round_half_up
-from .slices import SLICE, across, sliced, summaries, with_summary, within
+from .slices import SLICE, across, passed, sliced, summaries, with_summary, within
 
 HOUR_MS = 3_600_000
 
@@ -29,8 +29,8 @@ def step_durations(events: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
                   F.col("at_ms"), slice_ms)
 
     per_step = summaries(rows, ["run_id", "step_id"], F.min(start).alias("_first"), F.max(start).alias("_last"))
-    earlier = across(["run_id", "step_id"]).rowsBetween(Window.unboundedPreceding, -1)
-    later = across(["run_id"]).rowsBetween(1, Window.unboundedFollowing)
+    earlier = passed(across(["run_id", "step_id"]))
+    later = passed(across(["run_id"], F.desc(SLICE)))
     # Per run and slice: the last start of each step before it, and the first start of any step behind it.
     carried = (per_step.withColumn("_before", F.max("_last").over(earlier))
                .groupBy("run_id", SLICE).agg(
@@ -38,10 +38,10 @@ def step_durations(events: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
                    F.map_from_entries(F.collect_list(F.struct("step_id", "_before"))).alias("_before"))
                .withColumn("_behind", F.min("_first").over(later)).drop("_first"))
 
-    following = within(["run_id"], ["at_ms", "event_id"]).rowsBetween(1, Window.unboundedFollowing)
+    following = passed(within(["run_id"], [F.desc("at_ms"), F.desc("event_id")]))
     so_far = within(["run_id", "step_id"], ["at_ms", "event_id"]).rowsBetween(Window.unboundedPreceding, 0)
     owned = (with_summary(rows, carried, ["run_id"])
-             .withColumn("_next", F.coalesce(F.first(start, ignorenulls=True).over(following), F.col("_behind")))
+             .withColumn("_next", F.coalesce(F.last(start, ignorenulls=True).over(following), F.col("_behind")))
              .withColumn("_own", F.coalesce(F.last(start, ignorenulls=True).over(so_far),
                                             F.try_element_at("_before", F.col("step_id"))))
              .filter(F.col("_own").isNotNull()))

@@ -23,8 +23,16 @@ def within(keys: list[str], order: list[str | Column]):
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
 
-def across(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy(SLICE) if keys else Window.orderBy(SLICE)
+def across(keys: list[str], order: Column | str = SLICE):
+    return Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
+
+
+def passed(window):
+    """Everything before the current row. To look ahead, order backwards and use this as well:
+
+    a frame that ends at unbounded following is evaluated again from every row, this one grows along.
+    """
+    return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def summaries(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:

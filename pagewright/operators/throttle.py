@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import SLICE, sliced, within
+from .slices import SLICE, across, sliced, within
 
 GAP_MS = 1000
 HOUR_MS = 3_600_000
@@ -89,9 +89,9 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
             # Neighbouring candidates mostly lead to the same end; the last of each run stands for it.
             final = np.append(ends[:-1] != ends[1:], True) | ~np.append(candidate[1:], False)
             closing = np.flatnonzero(candidate & (final | (last != np.append(last[1:], -1))))
-            rows = pd.DataFrame({key: pdf[key].to_numpy()[closing], SLICE: slices[closing], "up_to": at[closing],
-                                 "last_at": last[closing]})
-            yield rows
+            first_at = at[np.repeat(starts, np.diff(np.append(starts, len(at))))]
+            yield pd.DataFrame({key: pdf[key].to_numpy()[closing], SLICE: slices[closing], "up_to": at[closing],
+                                "last_at": last[closing], "first_at": first_at[closing], "end_at": at[ends - 1][closing]})
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, starts in _groups(batches, key):
@@ -114,9 +114,9 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
         """Whole slices in time order. The window makes that a requirement no later planning may undo."""
         return df.withColumn("_at", F.row_number().over(within([key], ["at_ms"])))
 
-    table = in_order(firsts).mapInPandas(entries, f"{key} {kind}, {SLICE} bigint, up_to bigint, last_at bigint")
+    table = in_order(firsts).mapInPandas(entries, f"{key} {kind}, {SLICE} bigint, up_to bigint, last_at bigint, first_at bigint, end_at bigint")
 
-    # Chain the slice tables of a user in time order, keeping the carry that enters each.
+    # Walks the slice tables of a chain in time order, keeping the carry that enters each.
     def step(state, entry):
         carried = state["last"]
         index = F.size(F.filter(entry["ends"], lambda end: end["up_to"] < carried + gap))
@@ -126,8 +126,15 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
 
     start = F.struct(F.lit(-1).cast("bigint").alias("last"),
                      F.array().cast(f"array<struct<{SLICE}:bigint,carried:bigint>>").alias("entered"))
-    per_slice = table.groupBy(key, SLICE).agg(F.array_sort(F.collect_list(F.struct("up_to", "last_at"))).alias("ends"))
-    chained = (per_slice.groupBy(key)
+    per_slice = table.groupBy(key, SLICE).agg(
+        F.array_sort(F.collect_list(F.struct("up_to", "last_at"))).alias("ends"),
+        F.min("first_at").alias("first_at"), F.max("end_at").alias("end_at"))
+    # A pause of the gap or more before a slice makes its entry independent; only slices without one form a chain.
+    along = across([key])
+    paused = F.coalesce(F.col("first_at") - F.lag("end_at").over(along) >= gap, F.lit(True))
+    chains = (per_slice.withColumn("_paused", paused)
+              .withColumn("_chain", F.count_if("_paused").over(along.rowsBetween(Window.unboundedPreceding, 0))))
+    chained = (chains.groupBy(key, "_chain")
                .agg(F.array_sort(F.collect_list(F.struct(SLICE, "ends"))).alias("_slices"))
                .select(key, F.explode_outer(F.aggregate("_slices", start, step)["entered"]).alias("e"))
                .select(key, "e.*"))
