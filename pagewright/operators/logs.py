@@ -13,7 +13,8 @@ from ..functions.formats import epoch_ms, log_line
 from ..functions.text import has_any
 from .slices import numbered, overlapped, sliced
 
-KEEP_LOGS, KEEP_ERRORS, KEEP_CLIENT, KEEP_COMPACT = 1000, 100, 200, 100
+#: Retention of the log, of the errors and of a client's view.
+KEEP_LOGS, KEEP_ERRORS, KEEP_CLIENT = 1000, 100, 200
 
 
 def newest_first() -> list[Column]:

@@ -90,8 +90,9 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
             final = np.append(ends[:-1] != ends[1:], True) | ~np.append(candidate[1:], False)
             closing = np.flatnonzero(candidate & (final | (last != np.append(last[1:], -1))))
             first_at = at[np.repeat(starts, np.diff(np.append(starts, len(at))))]
-            yield pd.DataFrame({key: pdf[key].to_numpy()[closing], SLICE: slices[closing], "up_to": at[closing],
-                                "last_at": last[closing], "first_at": first_at[closing], "end_at": at[ends - 1][closing]})
+            out = {key: pdf[key].to_numpy(), SLICE: slices, "up_to": at, "last_at": last, "first_at": first_at,
+                   "end_at": at[ends - 1]}
+            yield pd.DataFrame({name: values[closing] for name, values in out.items()})
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, starts in _groups(batches, key):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.formats import epoch_ms, log_line
-from ..functions import patterns as P
 from ..operators import logs, runs, sessions
 from ..operators.throttle import throttle
 from ..session import table

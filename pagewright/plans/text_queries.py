@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, patterns as P
-from ..functions.text import fragments_to_text, preview, word_count
+from ..functions.text import fragments_to_text, js_trim, preview, word_count
 from ..operators import footnotes, layout, outline, pages, tags
 from ..operators.chunks import page_chunks as chunk_pages, text_chunks as chunk_text
 from ..session import spread, table
@@ -62,7 +62,6 @@ def consolidate_pages(spark, sf_dir):
 def page_split_roundtrip(spark, sf_dir):
     source = derived.conversation_pages(spark, sf_dir)
     marked = pages.consolidate(source, "page_end_before").select("doc_id", "text")
-    from ..functions.text import js_trim
     return pages.split_pages(marked).withColumn("text", js_trim(F.col("text")))
 
 

@@ -119,7 +119,6 @@ def test_types_equal_a_loop(spark):
 
 
 def test_plan_is_narrow_and_computes_arrays_once(spark, sf_dir):
-    from pagewright.plans import derived
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     from pagewright.plans.pipeline import clean_text
     plan = clean_text(docs)._jdf.queryExecution().optimizedPlan().toString()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import formats, patterns as P, replies
+from pagewright.functions import formats, replies
 from pagewright.functions.text import universal_lines
 from pagewright.operators import chunks, footnotes, outline, pages, tags
 
