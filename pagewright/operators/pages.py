@@ -266,9 +266,11 @@ def note_markers(pages: DataFrame) -> DataFrame:
 def footnote_summary(pages: DataFrame) -> DataFrame:
     """Distinct footnote markers and pages with any, per document.
 
-    Distinct counting is by (document, marker), so a large document spreads over many tasks.
+    Distinct counting is by (document, marker), so a large document spreads over many tasks. The
+    first marker of a page stands for the page, so one pass counts both.
     """
-    marked = note_markers(pages)
-    distinct = marked.select("doc_id", F.explode("markers").alias("marker")).distinct()
-    counts = distinct.groupBy("doc_id").agg(F.count(F.lit(1)).alias("footnote_count"))
-    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_with_notes")).join(counts, "doc_id")
+    markers = F.array_distinct(F.regexp_extract_all("text", F.lit(P.NOTE_MARKER), F.lit(0)))
+    per_marker = (unnest(pages, ["doc_id"], markers, "marker").groupBy("doc_id", "marker")
+                  .agg(F.count_if(F.col("_pos") == 0).alias("_pages")))
+    return per_marker.groupBy("doc_id").agg(
+        F.sum("_pages").alias("pages_with_notes"), F.count(F.lit(1)).alias("footnote_count"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.formats import age, epoch_ms, percent
+from .rows import unnest
 
 SIZE_LIMIT = 50 * 1024 * 1024
 KEEP_LOGS = 100
@@ -45,7 +46,9 @@ def to_state(snapshot_columns: DataFrame) -> DataFrame:
 
 def read_states(states: DataFrame, state: str = "state") -> DataFrame:
     """Saved-state JSON as columns; malformed text reads as no state."""
-    return states.withColumn("s", F.from_json(state, STATE_SCHEMA)).filter(F.col("s.fileInfo").isNotNull()).select(
+    # Tested inside an array, so that the text is parsed once and not again for a pushed-down filter.
+    parsed = F.filter(F.array(F.from_json(state, STATE_SCHEMA)), lambda s: s["fileInfo"].isNotNull())
+    return unnest(states, ["event_id"], parsed, "s").select(
         "event_id", F.col("s.fileInfo.name").alias("name"), F.col("s.fileInfo.size").alias("size"),
         F.col("s.fileInfo.lastModified").alias("last_modified"), F.col("s.timestamp").alias("saved_ms"),
         F.col("s.processData").alias("process"))

@@ -156,7 +156,7 @@ def task_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, done = F.col("user_id"), F.col("event_type") == "purchase"
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         user.alias("file_id"), F.concat(F.lit("file"), _s(user), F.lit(".pdf")).alias("name"),
         (user * 1000).alias("size"), user.alias("last_modified"), "ts", "event_id",
         F.lit(100).alias("total_pages"), (F.col("event_id") % 101).alias("done_pages"),
