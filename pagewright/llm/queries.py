@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, simhash, toxicity
+from . import (
+    chat,
+    decontamination,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    toxicity,
+    url_reputation,
+)
 
 QUERIES = {
     "op1_pattern_packing": packing.op1_pattern_packing,
+    "op2_host_reputation": url_reputation.op2_host_reputation,
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
+    "op4_adaptive_rules": quality_rules.op4_adaptive_rules,
     "op5_toxic_segments": toxicity.op5_toxic_segments,
+    "op6_hierarchical_quality": quality_classifier.op6_hierarchical_quality,
+    "op7_schema_chat": chat.op7_schema_chat,
+    "op8_line_hashing": line_dedup.op8_line_hashing,
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
 }
 ORACLES: dict[str, str] = {}

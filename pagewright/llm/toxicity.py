@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,20 +84,27 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     affixes = [F.when(F.length(word) > n, F.concat(F.lit(mark), part(n))) for n in AFFIXES for mark, part in
                (("<", lambda n: F.left(word, F.lit(n))), (">", lambda n: F.right(word, F.lit(n))))]
     features = counted.select("t", "c", F.explode(F.array_compact(F.array(F.concat(F.lit("="), word), *affixes)))
-                              .alias("feature")).groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+                              .alias("feature")).groupBy("feature").agg(F.sum("t").alias("t"), F.max("t").alias("most"), F.sum("c").alias("c"))
+    # An affix needs more than the one word that it is mostly seen in.
+    features = features.withColumn("t", F.col("t") - F.when(F.col("feature").startswith("="), 0).otherwise(F.col("most")))
     likely = features.where(F.col("t") >= LEAST_CONTEXTS).withColumns(
         {"odds": log_odds(F.col("t"), F.col("c"), all_t, all_c)}).where(F.col("odds") >= LEAST_ODDS).orderBy(
         F.desc("odds"), "feature").limit(MODEL_FEATURES).collect()
     wanted = {r.feature for r in likely}
 
     def documents(batch: pa.RecordBatch) -> dict:
-        n: Counter = Counter()
+        rows = set()
         for text in batch.column("text").to_pylist():
-            n.update({f for w in set(tokens_of(text)) for f in features_of(w)} & wanted)
-        return {"feature": list(n), "n": list(n.values())}
-
-    # A word that one text repeats has many contexts but few documents; copies have it the other way round.
-    texts = by_batch(sample.where("toxic = 1"), documents, "feature string, n long").groupBy("feature").agg(F.sum("n"))
+            words = tokens_of(text)
+            kin = min((xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(words, words[1:], strict=False)), default=0)
+            rows.update((f, kin) for w in set(words) for f in features_of(w) if f in wanted)
+        feature, kin = zip(*rows, strict=True) if rows else ((), ())
+        return {"feature": feature, "kin": kin}
+
+    # A word that one text repeats has many contexts but one document, and texts with the same least word pair are
+    # mostly copies, changed ones too: each counts once.
+    texts = by_batch(sample.where("toxic = 1"), documents, "feature string, kin long").distinct().groupBy(
+        "feature").count()
     support = dict(texts.collect()) if wanted else {}
     counts = {r.feature: (min(r.t, support.get(r.feature, 0)), r.c) for r in likely}
     sure = {f: (log_odds_of(t, c, all_t, all_c), c) for f, (t, c) in counts.items() if t >= LEAST_CONTEXTS}
