@@ -89,7 +89,7 @@ def json_fingerprint(record: Column) -> Column:
     paths = [F.json_object_keys(record)]
     for name in ("messages", "conversations"):
         keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        paths.append(F.transform(keys, lambda k, name=name: F.concat(F.lit(f"{name}[]."), k)))
+        paths.append(F.split(F.concat(F.lit(f"{name}[]."), F.array_join(keys, f"\n{name}[].")), "\n"))
     empty = F.array().cast("array<string>")
     there = F.flatten(F.array(*(F.coalesce(p, empty) for p in paths)))
     return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(there, F.array(*map(F.lit, known)))), "\n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +13,15 @@ from .shrinkage import posteriors
 #: Steps that a share from 0 to 1 is cut into, and pseudo-counts per step and class.
 STEPS, PRIOR = 20, 1.0
 #: Largest say of one feature in the evidence; a document goes if it is bad with more than this chance.
-MOST_SAY, MOST_BAD = 3.0, 0.9
+MOST_SAY, MOST_BAD = 6.0, 0.9
 #: Features: share of something in a text, from 0 to 1.
 FEATURES = ("symbols", "bars", "marks", "capitals", "repeated", "digits")
 
 
-def evidence_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, path, f_...): features of each whole text in STEPS steps; NULL texts have no words.
+def evidence_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, site, path, f_..., keep): features of each whole text in STEPS steps; NULL texts have no words.
 
-    The site is the source, the path the language below it, empty where NULL.
+    The site is the source, the path the language below it, empty where NULL. Columns named in `keep` go along.
     """
     text = F.coalesce("text", F.lit(""))
 
@@ -28,7 +30,7 @@ def evidence_rows(docs: DataFrame) -> DataFrame:
 
     shares = let(words_of(text), lambda w: F.struct(F.size(w).alias("words"), F.size(F.array_distinct(w)).alias(
         "kinds"), F.length(F.array_join(w, "")).alias("chars")))
-    counts = docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")).alias("site"),
+    counts = docs.select(*keep, F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")).alias("site"),
                          F.coalesce("lang", F.lit("")).alias("path"), shares.alias("w"),
                          left(r"[^#*$%&<>]+").alias("symbols"), left(r"[^|]+").alias("bars"),
                          left(r"[^!?]+").alias("marks"), left("[^A-Z]+").alias("capitals"),
@@ -36,7 +38,7 @@ def evidence_rows(docs: DataFrame) -> DataFrame:
     chars, words = F.greatest(F.col("w.chars"), F.lit(1)), F.greatest(F.col("w.words"), F.lit(1))
     share = {f: F.col(f) / chars for f in ("symbols", "bars", "marks", "capitals", "digits")}
     share["repeated"] = 1 - F.col("w.kinds") / words
-    return counts.select("doc_id", "site", "path", *(
+    return counts.select(*keep, "doc_id", "site", "path", *(
         F.least(F.lit(STEPS), F.ceil(STEPS * share[f])).cast("int").alias(f"f_{f}") for f in FEATURES))
 
 
@@ -59,8 +61,6 @@ def weights(labelled: DataFrame) -> dict[str, list[float]]:
         b[r.feature][r.step] += r.b
         g[r.feature][r.step] += r.g
     odds = {f: [(x / sum(b[f])) / (y / sum(g[f])) for x, y in zip(b[f], g[f], strict=True)] for f in FEATURES}
-    import math
-
     return {f: [max(-MOST_SAY, min(MOST_SAY, math.log(o))) for o in odds[f]] for f in FEATURES}
 
 

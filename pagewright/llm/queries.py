@@ -7,6 +7,7 @@ from . import (
     decontamination,
     line_dedup,
     packing,
+    pii,
     quality_classifier,
     quality_rules,
     simhash,
@@ -24,5 +25,6 @@ QUERIES = {
     "op7_schema_chat": chat.op7_schema_chat,
     "op8_line_hashing": line_dedup.op8_line_hashing,
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
+    "op10_disclosure": pii.op10_disclosure,
 }
 ORACLES: dict[str, str] = {}
