@@ -114,7 +114,8 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Entities are the base matches. A term's company is counted in different surroundings, so copies of a text count
     once. With N surroundings, c of the entity, o of the term in the whole corpus and b of both, the term discloses
     log(N b / (c o)) out of the entity's log(N / c); from DISCLOSURE of it on, and with LEAST_CONTEXTS surroundings, it
-    goes. Occurrences o are counted over all documents, in different word pairs that the term begins.
+    goes. Occurrences o are counted over all documents, in different word pairs that the term begins, and are at least
+    the term's surroundings beside all entities.
     """
     entity = F.coalesce(*(F.when(F.col("s.kind") == kind, F.concat(F.lit(kind + ":"), form(F.col("s.text"))))
                           for kind, (_, _, _, form) in KINDS.items()))
@@ -125,11 +126,16 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
         words_beside(before, True), words_beside(after, False)).alias("near"))
     told = stored(seen.select("entity", "near", F.xxhash64("near").alias("context")).distinct(), "company")
     sizes = told.groupBy("entity").agg(F.count("*").alias("c"))
-    # Entities with few surroundings can have no term with enough of them.
-    pairs = told.join(sizes.where(F.col("c") >= LEAST_CONTEXTS), "entity").select(
-        "entity", "c", "context", F.explode(F.array_distinct("near")).alias("term")).groupBy("entity", "term").agg(
-        F.first("c").alias("c"), F.count("*").alias("b")).where(F.col("b") >= LEAST_CONTEXTS)
-    pairs = stored(pairs, "pairs")
+    n = told.agg(F.count("*").alias("N")).first().N
+    company = told.select("entity", "context", F.explode(F.array_distinct("near")).alias("term"))
+    beside = company.groupBy("term").agg(F.count("*").alias("beside"))
+    # b surroundings disclose only if the term occurs at most b * (N / c) ** (1 - DISCLOSURE) times, and it occurs at
+    # least as often as beside all entities together: so words that stand beside many entities go before the corpus is
+    # searched. Entities with few surroundings can have no term with enough of them.
+    most = F.col("b") * F.pow(n / F.col("c"), F.lit(1 - DISCLOSURE))
+    pairs = stored(company.join(sizes.where(F.col("c") >= LEAST_CONTEXTS), "entity").groupBy("entity", "term").agg(
+        F.first("c").alias("c"), F.count("*").alias("b")).where(F.col("b") >= LEAST_CONTEXTS).join(
+        beside, "term").where((F.col("c") < n) & (F.col("beside") <= most)), "pairs")
     if pairs.isEmpty():
         return pairs.select("term")
     words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), "")
@@ -138,16 +144,13 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     wanted = pairs.select("term").distinct()
     occurring = docs.select(F.explode(following).alias("p")).select("p.term", "p.next").join(wanted, "term").distinct()
     often = occurring.groupBy("term").agg(F.count("*").alias("o"))
-    n = told.agg(F.count("*").alias("N")).first().N
-    known = F.log(n / F.col("c"))
-    gives = F.log(n * F.col("b") / (F.col("c") * F.greatest("o", "b")))
-    return pairs.join(often, "term").where((known > 0) & (gives >= DISCLOSURE * known)).select("term").distinct()
+    return pairs.join(often, "term").where(F.greatest("o", "beside") <= most).select("term").distinct()
 
 
 def with_terms(spans: DataFrame, terms: DataFrame) -> DataFrame:
     """Add `terms`: (start, kind number, kind, stop, text) of the disclosing terms in each text of (text, found).
 
-    Texts are matched with the terms by their words; a text is known by its 128-bit digest, so copies share the work.
+    Texts are matched with the terms by their words; a text is known by two digests, so copies share the work.
     """
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))
     key = [F.xxhash64("text").alias("h1"), F.crc32(F.coalesce("text", F.lit(""))).alias("h2")]

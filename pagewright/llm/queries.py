@@ -6,6 +6,7 @@ from . import (
     chat,
     decontamination,
     line_dedup,
+    oracle,
     packing,
     pii,
     quality_classifier,
@@ -27,4 +28,8 @@ QUERIES = {
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
     "op10_disclosure": pii.op10_disclosure,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_host_reputation": oracle.REPUTATION,
+    "op4_adaptive_rules": oracle.RULES,
+    "op7_schema_chat": oracle.CHAT,
+}
