@@ -51,7 +51,8 @@ def repeats(found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     documents have is one row per task before the shuffle, and its units meet it in a join that Spark splits.
     """
     earliest = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "unit")).alias("kept"))
-    twice = earliest.where("n > 1").select("d1", "d2", "kept")
+    # Written, so that the join below has two shuffled sides and Spark can split a digest that many units share.
+    twice = stored(earliest.where("n > 1").select("d1", "d2", "kept"), "repeated")
     again = found.join(twice, ["d1", "d2"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("unit") == F.col("kept.unit")))).select(
         "doc_id", "unit", "start", "stop", "words", F.col("kept.doc_id").alias("first_doc_id")).distinct()

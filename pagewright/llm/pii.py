@@ -40,7 +40,7 @@ def luhn(number: Column) -> Column:
 
 
 def real_ip(text: Column) -> Column:
-    return F.forall(F.split(text, r"\."), lambda p: let(F.ltrim(F.lit("0"), p), lambda d: (F.length(d) <= 3) & (
+    return F.forall(F.split(text, r"\."), lambda p: let(F.ltrim(p, F.lit("0")), lambda d: (F.length(d) <= 3) & (
         F.lpad(d, 3, "0") <= "255")))
 
 
