@@ -35,9 +35,10 @@ def accept_errors(posted: DataFrame) -> DataFrame:
 
 
 def without_noise(logs: DataFrame) -> DataFrame:
+    """Entries that are not noise; one without source or message stays."""
     message = F.col("message")
-    return logs.filter((F.col("source") != P.NOISE_SOURCE) & (message != P.NOISE_MESSAGE)
-                       & ~F.startswith(message, F.lit(P.NOISE_PREFIX)))
+    return logs.filter(~F.col("source").eqNullSafe(P.NOISE_SOURCE) & ~message.eqNullSafe(P.NOISE_MESSAGE)
+                       & ~F.coalesce(F.startswith(message, F.lit(P.NOISE_PREFIX)), F.lit(False)))
 
 
 def filter_logs(logs: DataFrame, level: str | None = None, source: str | None = None) -> DataFrame:

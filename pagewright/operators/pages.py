@@ -228,7 +228,7 @@ STYLES: dict[str, tuple[Callable[[Column, Column], Column], str]] = {
 }
 
 
-def _parts(pages: DataFrame, styles: list[str], pages_per_part: int) -> DataFrame:
+def _parts(pages: DataFrame, styles: list[str], pages_per_part: int | None) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
 
     def joined(style: str) -> Column:
@@ -236,22 +236,23 @@ def _parts(pages: DataFrame, styles: list[str], pages_per_part: int) -> DataFram
         return F.array_join(F.transform("_pages", lambda page: write(page["text"], page["page_no"].cast("string"))),
                             separator).alias(style)
 
-    part = F.floor((F.col("page_no") - 1) / pages_per_part).cast("long")
-    return (pages.select("doc_id", part.alias("part_no"), "page_no", F.coalesce("text", F.lit("")).alias("text"))
+    part = F.lit(0) if pages_per_part is None else F.floor((F.col("page_no") - 1) / pages_per_part)
+    return (pages.select("doc_id", part.cast("long").alias("part_no"), "page_no", F.coalesce("text", F.lit("")).alias("text"))
             .groupBy("doc_id", "part_no").agg(ordered.alias("_pages"))
             .select("doc_id", "part_no", *[joined(style) for style in styles]))
 
 
-def consolidate(pages: DataFrame, style: str = "plain", pages_per_part: int = 10_000) -> DataFrame:
+def consolidate(pages: DataFrame, style: str = "plain", pages_per_part: int | None = None) -> DataFrame:
     """Document text in page order, as ``doc_id, part_no, text``.
 
-    No group grows past ``pages_per_part`` pages: a longer document comes in several parts,
-    which joined in order by the style's separator are its whole text.
+    A document is one row, part 0. Only where a caller asks for ``pages_per_part`` does a longer one come in several
+    parts, which joined in order by the style's separator are its whole text; parts are for storage, not for further
+    operators, as notes and line context run over their ends.
     """
     return _parts(pages, [style], pages_per_part).withColumnRenamed(style, "text")
 
 
-def consolidate_styles(pages: DataFrame, pages_per_part: int = 10_000) -> DataFrame:
+def consolidate_styles(pages: DataFrame, pages_per_part: int | None = None) -> DataFrame:
     """Every style side by side from one grouping."""
     return _parts(pages, list(STYLES), pages_per_part)
 

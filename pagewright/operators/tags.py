@@ -52,7 +52,9 @@ def format_tagged(docs: DataFrame) -> DataFrame:
     # 3. The first token of each existing note becomes a reference tag.
     def reference(k: Column) -> Column:
         digits = F.get("_ids", k - 1)
-        content = F.get("_notes", F.try_to_number(digits, F.lit("9999999")).cast("int") - 1)
+        # Digits count as they are written: `01` names no note.
+        number = digits.try_cast("int")
+        content = F.when(number.cast("string") == digits, F.get("_notes", number - 1))
         first = (F.size("_ids") == F.size(F.array_distinct("_ids"))) | (F.array_position("_ids", digits) == k)
         tag = F.concat(F.lit("{{footnotenumber"), digits, F.lit("}}"), _original_mark(content, digits),
                        F.lit("{{-footnotenumber"), digits, F.lit("}}"))

@@ -140,7 +140,7 @@ DOC_STATISTICS = f"""SELECT doc_id, len(string_split(text, {NL}))::BIGINT AS tot
 {words('text')}::BIGINT AS total_words, length(text)::BIGINT AS total_characters FROM documents"""
 
 # ------------------------------------------------------------------------------------------ pages as documents
-_PART = "floor((page_no - 1) / 10000)::BIGINT"
+_PART = "0::BIGINT"
 
 
 def consolidated(text: str, separator: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +27,10 @@ def build_session(app_name: str = "pagewright", master: str | None = None, **con
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares for checkpoints and intermediate tables.
 
-    A local temporary folder is used only where the session names none (tests).
+    Where the session names none it is a folder below the warehouse, which executors share as well.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-")
+    return spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pagewright-shared")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from pagewright.plans import catalogue
 
 from .harness import compare, duck
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = catalogue.QUERIES, catalogue.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +25,7 @@ def test_matches_sql(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_entry_has_the_catalogue():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())

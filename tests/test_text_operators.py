@@ -180,3 +180,9 @@ def test_sizes(spark):
     assert value(spark, formats.size_text(F.col("s")), s=2048) == "2.00 KB"
     assert value(spark, formats.size_mb(F.col("s")), s=int(2.5 * 1024 * 1024)) == "2.5 MB"
     assert value(spark, formats.step_label(F.col("n")), n="Phase 1 - 3/5") == "Phase 1"
+
+
+def test_long_documents_are_one_text(spark):
+    table = spark.range(1, 25_001).selectExpr("1L AS doc_id", "id AS page_no", "concat('page ', id) AS text")
+    rows = pages.consolidate(table).collect()
+    assert len(rows) == 1 and rows[0].text.count("page ") == 25_000 and rows[0].text.endswith("page 25000")
