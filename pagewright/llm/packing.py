@@ -224,11 +224,11 @@ def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     if not len(at):
         return cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     keys = (at[:, 0] << 44) + at[:, 1]
-    groups = F.create_map(*(F.lit(v) for n, c in histogram.items() if c > GROUP_ROWS
-                            for v in (n, -(-c // GROUP_ROWS)))) if max(histogram.values()) > GROUP_ROWS else None
-    parts = F.lit(1) if groups is None else F.coalesce(groups[F.col("length")], F.lit(1))
+    # At most `capacity` rows: small enough to send to every task.
+    parts = F.broadcast(cut.sparkSession.createDataFrame(
+        [(n, -(-c // GROUP_ROWS)) for n, c in histogram.items()], "length long, parts long"))
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    grouped = cut.withColumn("part", F.pmod(F.xxhash64(*order), parts.cast("long")))
+    grouped = cut.join(parts, "length").withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts"))).drop("parts")
     sizes = grouped.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = sizes.select("length", "part", F.coalesce(
         F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
