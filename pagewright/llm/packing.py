@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .shared import by_batch, stored, table
 
-#: Words kept per Python worker, and pieces of one length ranked in one group.
-CACHE_WORDS, GROUP_ROWS = 600_000, 4096
+#: Words kept per Python worker, new words given to the tokenizer at a time, and pieces of one length ranked in one group.
+CACHE_WORDS, WORDS_AT_ONCE, GROUP_ROWS = 600_000, 1024, 4096
 #: Texts of these characters alone are cut into words here; all others go to the tokenizer whole.
 PLAIN = re.compile(r"[\x20-\x7e\n\tÀ-ÖØ-öø-ÿŒœ]*")
 #: The word rule of the tokenizer file, on lower case text of such characters.
@@ -43,13 +43,27 @@ class WordCache:
         encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def each(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, encoded as one text with blanks between them and cut by the tokenizer's word numbers."""
+        out: list[bytes] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at:at + WORDS_AT_ONCE]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            numbers, ids = e.word_ids, np.array(e.ids, "<u4").tobytes()
+            if not numbers or numbers[-1] != len(part) - 1:  # some word is none to the tokenizer
+                out += self.whole(part)
+                continue
+            ends = (4 * np.cumsum(np.bincount(numbers, minlength=len(part)))).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         words = [RULE.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = list(set().union(*words).difference(self.known))
-        self.known.update(zip(new, self.whole(new), strict=True))
+        self.known.update(zip(new, self.each(new), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) if p else self.whole([t])[0]
                 for t, w, p in zip(texts, words, plain, strict=True)]
