@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from .text import js_trim
 
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+#: A whole JSON text that is an array of numbers.
+NUMBER_ARRAY = rf"\A[ \t\r\n]*\[[ \t\r\n]*(?:{_NUMBER}[ \t\r\n]*(?:,[ \t\r\n]*{_NUMBER}[ \t\r\n]*)*)?\][ \t\r\n]*\z"
+
 
 def _first_removed(text: Column, pattern: str) -> Column:
     """``text`` without the first match; later matches stay."""
@@ -34,6 +38,11 @@ def parse_extraction(reply: Column) -> Column:
 
 
 def parse_flags(reply: Column) -> Column:
-    """Page numbers from a possibly fenced JSON array; NULL where it is none."""
+    """Page numbers from a possibly fenced JSON array; NULL unless the whole reply is an array of numbers.
+
+    Numbers that are not whole name no page and are left out.
+    """
     bare = F.regexp_replace(F.regexp_replace(reply, r"^```json\n?", ""), r"```\z", "")
-    return F.from_json(bare, "array<int>")
+    numbers = F.when(F.rlike(bare, F.lit(NUMBER_ARRAY)), F.from_json(bare, "array<double>"))
+    whole = F.filter(numbers, lambda n: n == F.floor(n))
+    return F.transform(whole, lambda n: n.cast("int"))

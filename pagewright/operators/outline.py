@@ -114,12 +114,17 @@ def annexes(found: DataFrame) -> DataFrame:
     return found.filter(F.col("type") == "annex")
 
 
-def toc(found: DataFrame) -> DataFrame:
-    """Table of contents text per document, in document order."""
+def toc(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Table of contents text per document of ``docs``, in document order; the banner alone without sections.
+
+    Only the ids of ``docs`` are read.
+    """
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.col("title"), F.lit(" (Line "),
                     F.col("start_line").cast("string"), F.lit(")\n"))
     ordered = F.array_sort(F.collect_list(F.struct("section_no", line.alias("line"))))
-    return (found.groupBy("doc_id").agg(ordered.alias("_entries"))
+    entries = found.groupBy("doc_id").agg(ordered.alias("_entries"))
+    none = F.array().cast("array<struct<section_no:bigint,line:string>>")
+    return (docs.select("doc_id").join(entries, "doc_id", "left").withColumn("_entries", F.coalesce("_entries", none))
             .select("doc_id", F.concat(F.lit(P.TOC_BANNER), F.array_join(
                 F.transform("_entries", lambda entry: entry["line"]), "")).alias("toc")))
 

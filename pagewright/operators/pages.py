@@ -156,18 +156,21 @@ def mark_problem_pages(pages: DataFrame, problems: DataFrame) -> DataFrame:
             .withColumn("status", F.when(F.col("_listed"), P.CORRECTING).otherwise(F.col("status"))).drop("_listed"))
 
 
-def apply_corrections(pages: DataFrame, replies: DataFrame) -> DataFrame:
+def apply_corrections(pages: DataFrame, replies: DataFrame, arrival: Column | None = None) -> DataFrame:
     """Put corrected text on pages in correction; the rest keep their own.
 
-    ``replies(doc_id, page_no, reply)`` holds at most one reply per page.
+    Of several ``replies(doc_id, page_no, reply)`` for a page the last by ``arrival`` counts, without one
+    the greatest text. NULL replies are none. Pages keep their number whatever the replies are.
     """
+    latest = replies.filter(F.col("reply").isNotNull()).groupBy(*KEYS).agg(
+        F.max_by("reply", F.struct(F.col("reply") if arrival is None else arrival, "reply")).alias("reply"))
     waiting = F.col("status") == P.CORRECTING
     method = correction_method(F.col("text"))
     # Routing decides which grammar the reply follows, so parsing comes after the join.
     parsed = F.when(method == P.AI_CORRECTION, parse_correction(F.col("reply"))).otherwise(
         parse_extraction(F.col("reply")))
     done = F.col("_fix").isNotNull()
-    return (pages.join(replies.select(*KEYS, "reply"), KEYS, "left")
+    return (pages.join(latest, KEYS, "left")
             .withColumn("_fix", F.when(waiting & F.col("reply").isNotNull(), parsed))
             .withColumn("method", F.when(done, method).otherwise(F.col("method")))
             .withColumn("status", F.when(done, P.COMPLETED).otherwise(F.col("status")))
@@ -268,10 +271,12 @@ def footnote_summary(pages: DataFrame) -> DataFrame:
     """Distinct footnote markers and pages with any, per document.
 
     Distinct counting is by (document, marker), so a large document spreads over many tasks. The
-    first marker of a page stands for the page, so one pass counts both.
+    first marker of a page stands for the page, so one pass counts both. Pages without notes keep a row
+    with a NULL marker, so that a document without any has zeros.
     """
     markers = F.array_distinct(F.regexp_extract_all("text", F.lit(P.NOTE_MARKER), F.lit(0)))
-    per_marker = (unnest(pages, ["doc_id"], markers, "marker").groupBy("doc_id", "marker")
+    per_marker = (pages.select("doc_id", F.posexplode_outer(markers).alias("_pos", "marker"))
+                  .groupBy("doc_id", "marker")
                   .agg(F.count_if(F.col("_pos") == 0).alias("_pages")))
     return per_marker.groupBy("doc_id").agg(
-        F.sum("_pages").alias("pages_with_notes"), F.count(F.lit(1)).alias("footnote_count"))
+        F.sum("_pages").alias("pages_with_notes"), F.count("marker").alias("footnote_count"))

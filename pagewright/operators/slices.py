@@ -41,8 +41,16 @@ def summaries(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
 
 
 def with_summary(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach per-slice values to the rows; the join key is as even as the slices are."""
-    return df.join(summary, [*keys, SLICE])
+    """Attach per-slice values to the rows; the join key is as even as the slices are.
+
+    NULL keys and positions are groups of their own, so no row is lost.
+    """
+    names = [*keys, SLICE]
+    other = summary.withColumnsRenamed({name: f"_of{name}" for name in names})
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_of{name}"))
+    return df.join(other, same).drop(*(f"_of{name}" for name in names))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:

@@ -67,8 +67,8 @@ durations AS (SELECT s.run_id, s.step_id, occurrence, s.event_id, s.at_ms AS sta
     AND (e.at_ms, e.event_id) > (s.at_ms, s.event_id)
     AND (s.next_same IS NULL OR (e.at_ms, e.event_id) < s.next_same)), next_any) AS end_ms FROM starts s)"""
 STEP_DURATIONS = f"WITH {STEPS} SELECT * EXCLUDE (occurrence), end_ms - start_ms AS duration_ms FROM durations"
-STEP_AVERAGES = f"""WITH {STEPS} SELECT step_id, count(*) AS finished, sum(end_ms - start_ms)::BIGINT AS total_ms
-FROM durations WHERE end_ms > start_ms GROUP BY step_id"""
+STEP_AVERAGES = f"""WITH {STEPS} SELECT step_id, count(*) AS finished, sum(end_ms - start_ms)::BIGINT AS total_ms,
+floor(avg(end_ms - start_ms) * 1000 + 0.5) / 1000 AS average_ms FROM durations WHERE end_ms > start_ms GROUP BY step_id"""
 
 
 def clock(ms: str) -> str:

@@ -71,7 +71,7 @@ def step_durations(spark, sf_dir):
 
 
 def step_averages(spark, sf_dir):
-    return runs.step_averages(_durations(spark, sf_dir)).select("step_id", "finished", "total_ms")
+    return runs.step_averages(_durations(spark, sf_dir))
 
 
 def step_eta(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.formats import epoch_ms, round_half_up
+from ..operators.throttle import throttle
 from ..streaming import feeds
 from . import derived
 from .oracle_runs import CLICK_THROTTLE, LOGS, TASKS
@@ -24,15 +25,12 @@ def stream_metrics(spark, sf_dir):
 
 
 def stream_progress(spark, sf_dir):
-    pages = _events(spark, sf_dir).select("ts", F.col("user_id").alias("doc_id"),
-                                          (F.col("event_type") == "view").alias("is_done"))
-    table = feeds.run_to_table(feeds.page_progress(pages), "progress")
-    return table.groupBy("doc_id").agg(F.sum("done").alias("done"), F.sum("seen").alias("seen"))
+    pages = _events(spark, sf_dir).select(F.col("user_id").alias("doc_id"), (F.col("event_type") == "view").alias("is_done"))
+    return feeds.page_progress(feeds.run_to_table(pages, "progress"))
 
 
 def stream_task_status(spark, sf_dir):
-    updates = feeds.task_updates(derived.as_task_steps(_events(spark, sf_dir)))
-    return feeds.task_states(feeds.run_to_table(updates, "tasks"))
+    return feeds.task_states(feeds.run_to_table(derived.as_task_steps(_events(spark, sf_dir)), "tasks"))
 
 
 def stream_finished_tasks(spark, sf_dir):
@@ -46,7 +44,7 @@ def stream_sessions(spark, sf_dir):
 def stream_throttle(spark, sf_dir):
     clicks = _events(spark, sf_dir).select(
         "user_id", "event_id", F.floor(epoch_ms(F.col("ts")) / 20000).cast("long").alias("at_ms"))
-    return feeds.run_to_table(feeds.throttle_stream(clicks), "throttle")
+    return throttle(feeds.run_to_table(clicks, "throttle"), "user_id")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -66,10 +64,9 @@ ORACLES = {
     "stream_log_counts": f"WITH {LOGS} SELECT window_start, level, count(*) AS total FROM {_closed('1 hour', 'logs')} GROUP BY ALL",
     "stream_metrics": f"""SELECT window_start, count(*) AS samples, floor(avg(value) * 10000 + 0.5) / 10000 AS mean_value,
         max(value) AS peak_value FROM {_closed('30 seconds')} GROUP BY window_start""",
-    "stream_progress": f"""SELECT user_id AS doc_id, (count(*) FILTER (WHERE event_type = 'view'))::BIGINT AS done,
-        count(*) AS seen FROM {_closed('1 hour')} GROUP BY user_id""",
-    "stream_task_status": "WITH " + TASKS.replace("FROM events)", f"FROM {_closed('1 hour')})", 1)
-                          + " SELECT task_id, status FROM tasks",
+    "stream_progress": """SELECT user_id AS doc_id, (count(*) FILTER (WHERE event_type = 'view'))::BIGINT AS done,
+        count(*) AS seen FROM events GROUP BY user_id""",
+    "stream_task_status": f"WITH {TASKS} SELECT task_id, status FROM tasks",
     "stream_finished_tasks": "SELECT DISTINCT user_id AS task_id FROM events WHERE event_type IN ('purchase', 'error')",
     "stream_sessions": f"""WITH gaps AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS opens FROM events
         WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

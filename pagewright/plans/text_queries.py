@@ -126,7 +126,8 @@ def outline_summary(spark, sf_dir):
 
 
 def outline_toc(spark, sf_dir):
-    return outline.toc(outline.sections(derived.legal_docs(spark, sf_dir)))
+    docs = derived.legal_docs(spark, sf_dir)
+    return outline.toc(outline.sections(docs), docs)
 
 
 def outline_filter(spark, sf_dir):

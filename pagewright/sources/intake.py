@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formats import epoch_ms
 from ..functions.text import fragments_to_text
 from ..operators.logs import accept_errors, accept_logs
 
@@ -20,7 +19,7 @@ def document_inventory(spark: SparkSession, folder: str) -> DataFrame:
              .option("recursiveFileLookup", "true").load(folder))
     return files.select(
         F.element_at(F.split(F.col("path"), "/"), -1).alias("name"), F.col("length").alias("size"),
-        epoch_ms(F.col("modificationTime")).alias("last_modified"), "path")
+        F.unix_millis("modificationTime").alias("last_modified"), "path")
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:

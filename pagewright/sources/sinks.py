@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import final_name
-from ..operators.sessions import compact_sessions
 from ..streaming.feeds import status_lines
 
 
@@ -21,8 +20,8 @@ def write_texts(docs: DataFrame, path: str) -> None:
 
 
 def append_snapshots(sessions: DataFrame, path: str) -> None:
-    """Add session snapshots, compacted where too large."""
-    compact_sessions(sessions).write.mode("append").parquet(path)
+    """Add session snapshots in full; a caller that wants them small applies ``compact_sessions`` first."""
+    sessions.write.mode("append").parquet(path)
 
 
 def clear_table(spark: SparkSession, path: str) -> int:

@@ -1,17 +1,17 @@
 """Streams over log, task, page and click feeds.
 
-Every operator emits in append mode, so the results can go to plain file tables with
-exactly-once commits. Event time carries a 10-minute watermark; windows appear once closed.
+Every operator emits in append mode, so the results can go to plain file tables with exactly-once commits.
+
+What must hold to the last row and in any order of arrival (task states, page progress, throttled clicks) lands as
+narrow rows, without a watermark, and is worked out from the landed table: nothing is late, and the answer does not
+depend on how files are cut into batches. Windows and sessions carry a 10-minute watermark: they appear once closed,
+and rows behind it are dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import patterns as P
 from ..session import run_folder
@@ -56,30 +56,23 @@ def metric_windows(samples: DataFrame, width: str = "30 seconds") -> DataFrame:
                      peak_value=F.max("value"))
 
 
-def page_progress(pages: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Finished and seen pages per document and window; sums over windows give the progress so far."""
-    return _windowed(pages, width, ["doc_id"], done=F.count_if("is_done"), seen=F.count(F.lit(1)))
+def page_progress(pages: DataFrame) -> DataFrame:
+    """Finished and seen pages per document so far, from ``doc_id, is_done`` rows that a stream has landed."""
+    return pages.groupBy("doc_id").agg(F.count_if("is_done").alias("done"), F.count(F.lit(1)).alias("seen"))
 
 
-def task_updates(steps: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Last state and first terminal state per task and window."""
+def task_states(steps: DataFrame) -> DataFrame:
+    """State per task now, from the step rows that a stream has landed; the first terminal state is final."""
     at = F.struct("ts", "event_id")
     ended = F.when(F.col("status").isin(P.TERMINAL_STATES), at)
-    return _windowed(
-        steps, width, ["task_id"], last_status=F.max_by("status", at), last_at=F.max(at),
-        end_status=F.min_by("status", ended), end_at=F.min(ended))
-
+    return steps.groupBy("task_id").agg(F.coalesce(
+        F.min_by("status", ended), F.max_by("status", at)).alias("status"))
 
-def task_states(updates: DataFrame) -> DataFrame:
-    """State per task from its update feed; a terminal state is final."""
-    return updates.groupBy("task_id").agg(F.coalesce(
-        F.min_by("end_status", "end_at"), F.max_by("last_status", "last_at")).alias("status"))
 
-
-def status_lines(updates: DataFrame) -> DataFrame:
-    """Updates as event-stream text, one ``data:`` record each."""
-    body = F.to_json(F.struct(F.col("task_id"), F.coalesce("end_status", "last_status").alias("status")))
-    return updates.select(F.concat(F.lit("data: "), body, F.lit("\n")).alias("value"))
+def status_lines(steps: DataFrame) -> DataFrame:
+    """Steps as event-stream text, one ``data:`` record each, as they come."""
+    body = F.to_json(F.struct("task_id", "status"))
+    return steps.select(F.concat(F.lit("data: "), body, F.lit("\n")).alias("value"))
 
 
 def finished_once(steps: DataFrame) -> DataFrame:
@@ -93,20 +86,3 @@ def session_windows(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return (events.withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
             .agg(F.count(F.lit(1)).alias("events"), (F.max(at) - F.min(at)).alias("duration_ms"))
             .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "events", "duration_ms"))
-
-
-def throttle_stream(clicks: DataFrame, gap_ms: int = 1000) -> DataFrame:
-    """Clicks at least ``gap_ms`` after the last one that passed, per user; the state is one number."""
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        clicks_now = pd.concat(list(batches)).sort_values(["at_ms", "event_id"], ignore_index=True)
-        taken = []
-        for i, at in enumerate(clicks_now["at_ms"].tolist()):
-            if last is None or at - last >= gap_ms:
-                taken.append(i)
-                last = at
-        state.update((last,))
-        yield clicks_now.loc[taken]
-
-    return clicks.select("user_id", "event_id", "at_ms").groupBy("user_id").applyInPandasWithState(
-        run, "user_id bigint, event_id bigint, at_ms bigint", "last_ms bigint", "append", GroupStateTimeout.NoTimeout)

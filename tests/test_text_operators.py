@@ -78,7 +78,7 @@ def test_filtered_name(spark, annex, section, expected):
 
 
 def test_toc(spark):
-    assert outline.toc(outline.sections(docs(spark, OUTLINE_TEXT))).first().toc == (
+    assert outline.toc(outline.sections(docs(spark, OUTLINE_TEXT)), docs(spark, OUTLINE_TEXT)).first().toc == (
         "TABLE OF CONTENTS\n==================\n\nCHAPTER 1 (Line 1)\n  Definitions (Line 3)\nANNEX A (Line 5)\n")
 
 
