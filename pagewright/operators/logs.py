@@ -15,6 +15,8 @@ from .slices import numbered, overlapped, sliced
 
 #: Retention of the log, of the errors and of a client's view.
 KEEP_LOGS, KEEP_ERRORS, KEEP_CLIENT = 1000, 100, 200
+#: Levels that a status names, also where no entry has them.
+LEVELS = ["info", "warn", "error", "debug"]
 
 
 def newest_first() -> list[Column]:
@@ -95,6 +97,23 @@ def recent_errors(errors: DataFrame, n: int = 20) -> DataFrame:
     return errors.orderBy(*newest_first()).limit(n)
 
 
+def status_summary(logs: DataFrame, errors: DataFrame, n: int = 5) -> DataFrame:
+    """Status as rows (section, name, total, id): all entries, entries per level, all errors, the newest ``n`` errors.
+
+    Levels without entries count 0. One pass over the logs; NULL levels count only in the whole.
+    """
+    def row(section: str, name: str, total: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), total.alias("total"))
+
+    counts = logs.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("level") == name).alias(name) for name in LEVELS])
+    found = counts.select(F.inline(F.array(
+        row("logs", "total", F.col("all")), *[row("level", name, F.col(name)) for name in LEVELS])))
+    failed = errors.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(row("errors", "total", F.col("n")))))
+    recent = recent_errors(errors, n).select(
+        F.lit("recent").alias("section"), F.col("error").alias("name"), F.lit(None).cast("long").alias("total"), "id")
+    return found.unionByName(failed).withColumn("id", F.lit(None).cast("long")).unionByName(recent)
+
+
 def severity(message: Column) -> Column:
     chain = F
     for name, words in P.SEVERITY_WORDS:

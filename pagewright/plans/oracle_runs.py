@@ -30,6 +30,13 @@ ERROR_SUMMARY = f"""WITH {ERRORS} SELECT error, count(*) AS total,
 count(*) FILTER (WHERE {hit('error', P.RECOVERABLE_ERROR)}) AS recoverable,
 count(*) FILTER (WHERE {' OR '.join(f"contains(error, {q(w)})" for w in P.RETRIABLE_WORDS)}) AS retriable
 FROM errors GROUP BY error"""
+RETAINED_ERRORS = f"WITH {ERRORS} SELECT id, error FROM errors ORDER BY ts DESC, id DESC LIMIT 100"
+CLIENT_LOGS = f"WITH {LOGS} SELECT id, level, message FROM logs ORDER BY ts DESC, id DESC LIMIT 200"
+STATUS_SUMMARY = f"""WITH {ERRORS} SELECT 'logs' AS section, 'total' AS name, count(*) AS total, NULL::BIGINT AS id FROM logs
+UNION ALL SELECT 'level', l, (SELECT count(*) FROM logs WHERE level = l), NULL
+  FROM (VALUES ('info'), ('warn'), ('error'), ('debug')) v(l)
+UNION ALL SELECT 'errors', 'total', count(*), NULL FROM errors
+UNION ALL SELECT 'recent', error, NULL, id FROM (SELECT * FROM errors ORDER BY ts DESC, id DESC LIMIT 5)"""
 RECENT_ERRORS = f"WITH {ERRORS} SELECT id, error FROM errors ORDER BY ts DESC, id DESC LIMIT 5"
 
 

@@ -36,6 +36,22 @@ def retained_logs(spark, sf_dir):
     return logs.retain_latest(derived.logs(spark, sf_dir)).select("id", "level", "message")
 
 
+def client_logs(spark, sf_dir):
+    """The entries a client's view keeps."""
+    return logs.retain_latest(derived.logs(spark, sf_dir), logs.KEEP_CLIENT).select("id", "level", "message")
+
+
+def retained_errors(spark, sf_dir):
+    """The errors a bounded log keeps."""
+    errors = logs.error_entries(derived.logs(spark, sf_dir))
+    return logs.retain_latest(errors, logs.KEEP_ERRORS).select("id", "error")
+
+
+def status_summary(spark, sf_dir):
+    entries = derived.logs(spark, sf_dir)
+    return logs.status_summary(entries, logs.error_entries(entries))
+
+
 def log_lines(spark, sf_dir):
     """The ten newest entries as lines."""
     return logs.log_query(derived.logs(spark, sf_dir), limit=10).select("id", "line")
@@ -126,7 +142,7 @@ def workflow_step(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    log_query, log_level_counts, log_total, retained_logs, log_lines, error_summary, recent_errors, log_severity,
+    log_query, log_level_counts, log_total, retained_logs, client_logs, retained_errors, status_summary, log_lines, error_summary, recent_errors, log_severity,
     phase_window, current_phase, step_durations, step_averages, step_eta, progress_eta, task_status, task_lookup,
     session_resume, session_length, click_throttle, workflow_step)}
 ORACLES = {name: getattr(oracle_runs, name.upper()) for name in QUERIES}

@@ -32,6 +32,12 @@ def clear_table(spark: SparkSession, path: str) -> int:
     return cleared
 
 
+def clear_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, int]:
+    """Empty a table per kind (logs, errors) and return the rows each had, and all of them as ``total``."""
+    cleared = {kind: clear_table(spark, path) for kind, path in paths.items()}
+    return {**cleared, "total": sum(cleared.values())}
+
+
 def stream_status_lines(updates: DataFrame, path: str, checkpoint: str):
     """Task updates as newline events; ends when the available input is used up."""
     return (status_lines(updates).writeStream.format("text").outputMode("append").option("path", path)

@@ -49,6 +49,14 @@ def test_clear(spark, tmp_path):
     assert spark.read.parquet(path).count() == 0
 
 
+def test_clear_per_kind(spark, tmp_path):
+    paths = {kind: str(tmp_path / kind) for kind in ("logs", "errors")}
+    spark.range(3).write.parquet(paths["logs"])
+    spark.range(2).write.parquet(paths["errors"])
+    assert sinks.clear_tables(spark, paths) == {"logs": 3, "errors": 2, "total": 5}
+    assert sinks.clear_tables(spark, paths)["total"] == 0
+
+
 def test_snapshots_append(spark, tmp_path):
     df = spark.createDataFrame([(1, ["l"], [("b", None)])],
                                "id long, debug_logs array<string>, results array<struct<text: string, image_url: string>>")
