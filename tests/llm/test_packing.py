@@ -69,3 +69,9 @@ def test_words_one_by_one(text):
     path = public_tokenizers.path("word_bpe_49k.json")
     cache = packing.WordCache(path)
     assert cache.encode([text]) == cache.whole([text])
+
+
+def test_words_encoded_together_equal_single_ones():
+    cache = packing.word_cache(None)
+    words = ["a", "'s", "'", "''", "zq7", "3", "l'été", "œuvre", "!?", "x" * 300] + [f"w{chr(97 + i % 26)}{'ab' * (i % 9)}" for i in range(2500)]
+    assert cache.each(words) == cache.whole(words) and cache.each([]) == []
