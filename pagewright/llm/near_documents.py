@@ -22,8 +22,8 @@ HASHES, BAND, BANDS = 64, 3, 8
 RADIUS = 18
 #: Share of equal min-hashes from which a link is looked at exactly (0.8 less two and a half deviations).
 LEAST_EQUAL = 0.68
-#: Shards of more rows are cut by further min-hashes before their trees are built.
-SHARD_ROWS = 4_096
+#: Shards of more rows are cut into parts of about so many, each with a tree of its own.
+SHARD_ROWS = 1_024
 #: Odd multipliers that turn one shingle hash into HASHES of them.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(str(k), 42) | 1 for k in range(HASHES)], np.uint64)
 
@@ -59,24 +59,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     "doc_id long, node long, fp long, signature binary, keys array<long>")
 
 
-def similar_in_shard(nodes: np.ndarray, prints: np.ndarray, signatures: np.ndarray, depth: int = 0) -> list:
-    """Links (node, node) of a shard that connect what looks similar: at most one per row and cut.
+def similar_in_shard(nodes: np.ndarray, prints: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
+    """Links (node, node) of a shard that connect what looks similar: at most one per row and group.
 
     A row searches the tree of those before it, only along edges within the radius, and is linked to each group that
-    holds a row with enough equal min-hashes, the most equal first. A large shard is first cut by more min-hashes.
+    holds a row with enough equal min-hashes, the most equal first.
     """
-    if len(nodes) > SHARD_ROWS and depth < 3:
-        found = []
-        for k in range(BANDS):
-            at = HASHES - 1 - (depth * BANDS + k) * BAND % (HASHES - BAND)
-            part = signatures[:, at - BAND + 1:at + 1].astype(np.int64) @ np.array([1, 256, 65536])
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            for rows in np.split(order, cuts):
-                if len(rows) > 1:
-                    deeper = depth + 1 if len(rows) < len(nodes) else 3
-                    found += similar_in_shard(nodes[rows], prints[rows], signatures[rows], deeper)
-        return list(dict.fromkeys(found))
     tree, over, found = BKTree(), list(range(len(nodes))), []
 
     def top(i: int) -> int:
@@ -97,8 +85,8 @@ def similar_in_shard(nodes: np.ndarray, prints: np.ndarray, signatures: np.ndarr
     return found
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes to look at exactly, from the shards that the keys of (node, fp, signature, keys) name."""
+def candidates(parts: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes to look at exactly, from the trees of each part of (shard, key, part, node, fp, signature)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] | None = None
 
@@ -112,9 +100,9 @@ def candidates(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            bytes_ = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
-            new = (np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]),
-                   batch.column(2).to_numpy(), batch.column(3).to_numpy(), bytes_)
+            bytes_ = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
+            new = (np.column_stack([batch.column(i).to_numpy() for i in range(3)]),
+                   batch.column(3).to_numpy(), batch.column(4).to_numpy(), bytes_)
             rows = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new, strict=True))
             last = np.flatnonzero((rows[0] != rows[0][-1]).any(axis=1))
             cut = last[-1] + 1 if len(last) else 0
@@ -124,13 +112,57 @@ def candidates(texts: DataFrame) -> DataFrame:
         if rest is not None:
             yield links(*rest)
 
-    keyed = texts.select(F.posexplode("keys").alias("shard", "key"), "node", "fp", "signature").select(
-        F.col("shard").cast("long"), "key", "node", "fp", "signature")
-    rows = keyed.repartition("shard", "key").sortWithinPartitions("shard", "key", "node")
+    place = ["shard", "key", "part"]
+    rows = parts.select(*place, "node", "fp", "signature").repartition(*place).sortWithinPartitions(*place, "node")
     return rows.mapInArrow(run, "a long, b long").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def pieces_of(rows: Column) -> Column:
+    """Parts that so many rows are cut into."""
+    return F.ceil(rows / SHARD_ROWS).cast("long")
+
+
+def dealt(pieces: Column) -> Column:
+    """The part of a row. Shards deal their rows differently, so that parts of a group meet in other shards."""
+    return F.pmod(F.xxhash64("shard", "node"), pieces)
+
+
+def similar(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): verified links of nodes, from the shards that the keys of (node, fp, signature, keys) name.
+
+    A shard of more than SHARD_ROWS rows is searched in parts first. Most of a large shard is one group of copies, which
+    its parts and the other shards connect. The rows outside the shard's largest group so far are then searched for
+    against all of its rows, in blocks, so that cutting a shard loses no link and no task holds a whole one.
+    """
+    keyed = texts.select(F.posexplode("keys").alias("shard", "key"), "node", "fp", "signature").withColumn(
+        "shard", F.col("shard").cast("long"))
+    place = ["shard", "key"]
+    large = stored(keyed.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS), "large-shards")
+    first = keyed.join(large, place, "left").withColumn("part", F.coalesce(dealt(pieces_of(F.col("n"))), F.lit(0)))
+    links = stored(verified(docs, texts, stored(candidates(first), "pairs"), words, least), "found-links")
+    rows = keyed.join(large, place).join(connected_components(links), "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    rows = stored(rows, "large-rows")
+    main = rows.groupBy(*place, "root").agg(F.count("*").alias("k")).groupBy(*place).agg(
+        F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("m")).where("m > 0")
+    open_rows = rows.join(main, place).withColumns({"parts": pieces_of(F.col("n")), "blocks": pieces_of(F.col("m"))})
+
+    def up_to(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    # Part p of all rows meets block b of the others in part p * blocks + b.
+    everyone = open_rows.withColumn("p", dealt(F.col("parts"))).withColumn("b", F.explode(up_to("blocks")))
+    others = open_rows.where("root <> main").withColumn("b", dealt(F.col("blocks"))).withColumn(
+        "p", F.explode(up_to("parts")))
+    columns = [*place, "part", "node", "fp", "signature"]
+    met = everyone.unionByName(others).withColumn("part", F.col("p") * F.col("blocks") + F.col("b")).select(*columns)
+    again = stored(candidates(met.dropDuplicates([*place, "part", "node"])), "pairs")
+    if again.isEmpty():
+        return links
+    return links.union(verified(docs, texts, again.join(links, ["a", "b"], "left_anti"), words, least))
+
+
 def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs whose shingle sets have Jaccard similarity of at least `least`, from the whole texts again."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts, "node").select(
@@ -163,9 +195,7 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     texts = stored(rows.groupBy("node").agg(
         F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("signature").alias("signature"),
         F.any_value("keys").alias("keys")), "texts")
-    pairs = stored(candidates(texts), "pairs")
-    links = verified(docs, texts, pairs, words, least)
-    roots = connected_components(links)
+    roots = connected_components(similar(docs, texts, words, least))
     grouped = texts.select("node", "least").join(roots, "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("root"))
     first = F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node"))

@@ -1,5 +1,6 @@
 from itertools import combinations
 
+import pytest
 import xxhash
 
 from pagewright.llm import near_documents, simhash
@@ -70,10 +71,20 @@ def test_one_of_each(docs, no_docs):
     assert near_documents.one_of_each(no_docs).count() == 0
 
 
-def test_near_copies_against_all_pairs(spark, sf_dir):
+@pytest.mark.parametrize("shard_rows", [near_documents.SHARD_ROWS, 3])
+def test_near_copies_against_all_pairs(spark, sf_dir, monkeypatch, shard_rows):
+    monkeypatch.setattr(near_documents, "SHARD_ROWS", shard_rows)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sets = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in docs.collect()}
     links = [(a, b) for a, b in combinations(sorted(sets), 2)
              if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = sorted(n for n, top in groups(links, sets).items() if n == top)
     assert sorted(r.doc_id for r in near_documents.one_of_each(docs).collect()) == want
+
+
+def test_a_large_shard_loses_no_link(spark, monkeypatch):
+    """A chain of 60 texts, each like the next one only, and rows that are like one text of a cut shard."""
+    monkeypatch.setattr(near_documents, "SHARD_ROWS", 4)
+    texts = [" ".join(f"w{k}" for k in range(6 * i, 6 * i + 120)) for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, "something else")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_documents.one_of_each(docs).collect()) == [0, 60]
