@@ -64,10 +64,14 @@ def repeats(found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents with `removed`, the (start, stop) in the original text, and those passages gone from `text`."""
+    """The documents with `removed`, the (start, stop) in the original text, and those passages gone from `text`.
+
+    A column of that name in docs is replaced.
+    """
     spans = repeats(stored(units(docs), "units"), least_words).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed")).withColumnRenamed("doc_id", "of_doc")
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("of_doc")), "left").drop("of_doc")
+        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed")).withColumnRenamed("doc_id", "__of_doc")
+    joined = docs.drop("removed").join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__of_doc")), "left").drop(
+        "__of_doc")
     ends = F.concat(F.array(F.lit(0)), F.col("removed.stop"))
     kept = let(ends, lambda e: F.array_join(F.transform(e, lambda stop, i: F.substring(
         F.col("text"), stop + 1, F.coalesce(F.get(F.col("removed.start"), i), F.length("text")) - stop)), ""))

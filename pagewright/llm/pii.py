@@ -188,11 +188,14 @@ def sanitised(docs: DataFrame) -> DataFrame:
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.aggregate(F.array_sort(F.concat("found", "terms")), first, put, lambda d: F.concat(
         d.out, F.substring(F.col("text"), d.at + 1, F.length("text"))))
-    clean = spans_of(docs).withColumn("text", F.when(F.size("found") + F.size("terms") > 0, whole).otherwise(
+    # The row travels as one column, so that its columns may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    clean = spans_of(rows).withColumn("text", F.when(F.size("found") + F.size("terms") > 0, whole).otherwise(
         F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return clean.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "row.n_chars")
+    return clean.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:

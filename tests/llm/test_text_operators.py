@@ -52,6 +52,15 @@ def test_sanitised(docs, no_docs):
     assert pii.sanitised(no_docs).count() == 0
 
 
+def test_clashing_names(spark, docs):
+    names = ["found", "terms", "held", "row", "h1", "removed", "of_doc", "n"]
+    more = docs.selectExpr("*", *(f"'{n}!' AS {n}" for n in names))
+    out = pii.sanitised(more)
+    assert out.columns == more.columns and out.select(*names).distinct().collect() == [tuple(f"{n}!" for n in names)]
+    out = line_dedup.without_repeats(more)
+    assert out.count() == docs.count() and out.select("of_doc", "n").distinct().count() == 1
+
+
 def test_disclosing_term(spark):
     rows = [f"alpha{i} beta{i} Zorbo x{i}@y.example gamma{i} common the{i}" for i in range(4)]
     rows = [r.replace(f"x{i}@", "boss@") for i, r in enumerate(rows)]
