@@ -128,8 +128,8 @@ def dealt(pieces: Column) -> Column:
     return F.pmod(F.xxhash64("shard", "node"), pieces)
 
 
-def similar(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b): verified links of nodes, from the shards that the keys of (node, fp, signature, keys) name.
+def groups(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, root) of linked nodes: verified links from the shards that the keys of (node, fp, signature, keys) name.
 
     A shard of more than SHARD_ROWS rows is searched in parts first. Most of a large shard is one group of copies, which
     its parts and the other shards connect. The rows outside the shard's largest group so far are then searched for
@@ -141,8 +141,8 @@ def similar(docs: DataFrame, texts: DataFrame, words: int, least: float) -> Data
     large = stored(keyed.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS), "large-shards")
     first = keyed.join(large, place, "left").withColumn("part", F.coalesce(dealt(pieces_of(F.col("n"))), F.lit(0)))
     links = stored(verified(docs, texts, stored(candidates(first), "pairs"), words, least), "found-links")
-    rows = keyed.join(large, place).join(connected_components(links), "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
+    roots = connected_components(links)
+    rows = keyed.join(large, place).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = stored(rows, "large-rows")
     main = rows.groupBy(*place, "root").agg(F.count("*").alias("k")).groupBy(*place).agg(
         F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("m")).where("m > 0")
@@ -159,8 +159,10 @@ def similar(docs: DataFrame, texts: DataFrame, words: int, least: float) -> Data
     met = everyone.unionByName(others).withColumn("part", F.col("p") * F.col("blocks") + F.col("b")).select(*columns)
     again = stored(candidates(met.dropDuplicates([*place, "part", "node"])), "pairs")
     if again.isEmpty():
-        return links
-    return links.union(verified(docs, texts, again.join(links, ["a", "b"], "left_anti"), words, least))
+        return roots
+    new = verified(docs, texts, again.join(links, ["a", "b"], "left_anti"), words, least)
+    # The groups so far are stars already: few rounds join them through the new links.
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
 
 
 def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -195,7 +197,7 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     texts = stored(rows.groupBy("node").agg(
         F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("signature").alias("signature"),
         F.any_value("keys").alias("keys")), "texts")
-    roots = connected_components(similar(docs, texts, words, least))
+    roots = groups(docs, texts, words, least)
     grouped = texts.select("node", "least").join(roots, "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("root"))
     first = F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node"))
