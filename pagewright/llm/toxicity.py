@@ -170,13 +170,29 @@ def passages(words: list[str], scores: TokenScores, rate: float) -> list[tuple[i
     return [(a, b, s, rate * -OTHER * len(words) * math.exp(-rate * s)) for a, b, s in found]
 
 
+def below(r: int, expected: float) -> float:
+    """The chance of fewer than r segments where `expected` are: a Poisson sum from its largest term down."""
+    if r > expected:
+        # The chance of r and more, whose terms fall from the first on.
+        term = total = math.exp(r * math.log(expected) - expected - math.lgamma(r + 1)) if expected > 0 else 0.0
+        i = r
+        while term > 1e-17 * total:
+            i += 1
+            term *= expected / i
+            total += term
+        return 1 - total
+    term = total = math.exp((r - 1) * math.log(expected) - expected - math.lgamma(r))
+    for i in range(r - 1, 0, -1):
+        term *= i / expected
+        if term <= 1e-17 * total:
+            break
+        total += term
+    return total
+
+
 def toxicity(found: list[tuple[int, int, float, float]]) -> float:
-    """One less the least chance of r segments as strong as the r-th; zero without a toxic token."""
-    best = 1.0
-    for r, (_, _, _, expected) in enumerate(found[:20], 1):
-        below = sum(math.exp(-expected) * expected ** i / math.factorial(i) for i in range(r))
-        best = min(best, max(0.0, 1 - below))
-    return 1 - best
+    """One less the least chance of r segments as strong as the r-th, over all ranks; zero without a toxic token."""
+    return max((min(1.0, max(0.0, below(r, expected))) for r, (_, _, _, expected) in enumerate(found, 1)), default=0.0)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import re
 from collections import Counter
 
@@ -220,3 +221,17 @@ def test_chat_edges(spark):
     assert got[1].n_turns == 3 and got[1].loss_chars == 0 and got[None].n_turns == 1
     assert got[1].turns_sha256 == hashlib.sha256(b"\nhi\n\nhi\nassistant\n\n").hexdigest()
     assert chat.formatted(chat.turn_rows(df.where("false"))).count() == 0
+
+
+def test_toxicity_of_many_weak_segments():
+    """A long text with scattered toxic words, more of them than chance makes, however weak each is."""
+    def text(rate, tokens, segments, strength):
+        expected = rate * -toxicity.OTHER * tokens * math.exp(-rate * strength)
+        return toxicity.toxicity([(k, k + 1, strength, expected) for k in range(segments)])
+
+    assert text(1.6, 200_000, 60, 5.0) > 0.999999 and text(1.8, 200_000, 80, 4.0) > 0.9
+    assert text(1.6, 200_000, 20, 5.0) < 0.1 and text(1.6, 4_000_000, 600, 5.0) > 0.99
+    assert toxicity.below(3, 0.0) == 1.0 and toxicity.below(5_000, 10.0) == 1.0 and toxicity.below(1, 1e6) == 0.0
+    for r, expected in ((1, 0.3), (4, 4.0), (30, 26.8), (20, 26.8)):
+        slow = sum(math.exp(-expected) * expected ** i / math.factorial(i) for i in range(r))
+        assert abs(toxicity.below(r, expected) - slow) < 1e-12
