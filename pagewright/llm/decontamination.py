@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ WORD = re.compile(r"[^\W_]+")
 BLOCK_ITEMS = 20_000
 #: Entries of the table that says which shingle hashes can occur in an item (a power of two).
 FILTER_BITS = 22
+#: Shingles whose bits are summed at a time while windows are fingerprinted.
+SUMMED = 4_096
 
 
 def shingles(words: list[str], size: int) -> list[str]:
@@ -68,12 +71,12 @@ class Benchmark:
         self.items = [(i, w) for i, t in items if (w := WORD.findall((t or "").lower()))]
         self.counts = [Counter(shingles(w, size)) for _, w in self.items]
         self.index = Fingerprints([self.print_of(w) for _, w in self.items], radius)
-        #: By shingle size (items shorter than `size` are one shingle): hash -> (item, place in it).
-        self.places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        #: By shingle size (items shorter than `size` are one shingle): hash -> items that hold it.
+        self.places: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, w) in enumerate(self.items):
             n = min(size, len(w))
-            for place, h in enumerate(self.rolling(self.word_hashes(w), n).tolist()):
-                self.places[n][h].append((k, place))
+            for h in sorted(set(self.rolling(self.word_hashes(w), n).tolist())):
+                self.places[n][h].append(k)
         self.maybe = {}
         for n, held in self.places.items():
             self.maybe[n] = np.zeros(1 << FILTER_BITS, bool)
@@ -96,28 +99,56 @@ class Benchmark:
             total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + last]
         return total
 
-    def windows(self, words: list[str]) -> set[tuple[int, int]]:
-        """(start, words) of the windows worth a fingerprint, of the size of the item they share a shingle with.
+    def windows(self, words: list[str]) -> list[tuple[int, int]]:
+        """(start, words) of all item-sized windows that can reach the wanted similarity, in order.
 
-        A window that shares no shingle with an item has similarity zero, so none that counts is left out.
+        A window can have in common with an item no more shingles than it has places whose shingle the item holds. With a
+        shingles of its own and b of the item, the similarity is at most places / (a + b - places): the windows with too
+        few places for it, and no others, are left out, wherever in the item their shingles lie.
         """
         found, hashes = set(), self.word_hashes(words)
         for n, held in self.places.items():
             rolled = self.rolling(hashes, n)
             hits = np.flatnonzero(self.maybe[n][rolled >> np.uint64(64 - FILTER_BITS)])
+            of_item = defaultdict(list)
             for at, h in zip(hits.tolist(), rolled[hits].tolist(), strict=True):
-                for k, place in held.get(h, ()):
-                    size = len(self.items[k][1])
-                    found.add((max(0, min(at - place, len(words) - size)), size))
-        return found
+                for k in held.get(h, ()):
+                    of_item[k].append(at)
+            for k, places in of_item.items():
+                size = len(self.items[k][1])
+                a = max(1, min(size, len(words)) - n + 1)
+                # One millionth less, for the rounding of the division.
+                need = max(1, math.ceil(self.least * (a + self.counts[k].total()) / (1 + self.least) - 1e-6))
+                last = max(0, len(words) - size)
+                for first, final in zip(places, places[need - 1:], strict=False):
+                    found.update((s, size) for s in range(max(0, final - a + 1), min(first, last) + 1))
+        return sorted(found)
+
+    def prints_of(self, words: list[str], windows: list[tuple[int, int]]) -> Iterator[int]:
+        """The fingerprint of each of the sorted windows: bits are summed along the text and windows are differences."""
+        sums, low, high = None, 0, 0
+        for start, size in windows:
+            if min(size, len(words)) <= self.size:
+                yield self.print_of(words[start:start + size])
+                continue
+            a = min(size, len(words)) - self.size + 1
+            if sums is None or start < low or start + a > high:
+                low, high = start, max(start + a, min(start + SUMMED, len(words) - self.size + 1))
+                digests = [xxhash.xxh64_intdigest(s, 42) for s in shingles(words[low:high + self.size - 1], self.size)]
+                bits = np.unpackbits(np.array(digests, np.uint64).view(np.uint8).reshape(-1, BITS // 8), axis=1,
+                                     bitorder="little")
+                sums = np.zeros((high - low + 1, BITS), np.int32)
+                np.cumsum(bits, axis=0, out=sums[1:], dtype=np.int32)
+            counts = sums[start - low + a] - sums[start - low]
+            yield int(np.packbits(2 * counts > a, bitorder="little").view(np.uint64)[0])
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """(item_id, first word, words, differing bits, similarity) of the best window of each leaked item."""
         words = WORD.findall((text or "").lower())
         best: dict[int, tuple[int, int, int, int, float]] = {}
-        for start, size in sorted(self.windows(words)):
-            part = words[start:start + size]
-            wanted, counts = self.print_of(part), None
+        windows = self.windows(words)
+        for (start, size), wanted in zip(windows, self.prints_of(words, windows), strict=True):
+            part, counts = words[start:start + size], None
             for k in self.index.near(wanted):
                 item_id, item = self.items[k]
                 if len(item) != size:

@@ -235,3 +235,32 @@ def test_toxicity_of_many_weak_segments():
     for r, expected in ((1, 0.3), (4, 4.0), (30, 26.8), (20, 26.8)):
         slow = sum(math.exp(-expected) * expected ** i / math.factorial(i) for i in range(r))
         assert abs(toxicity.below(r, expected) - slow) < 1e-12
+
+
+def test_reordered_leaks_against_all_windows():
+    """Items with their parts swapped, repeated words and edits, in texts longer and shorter than the item."""
+    import random
+
+    dice = random.Random(5)
+    items = [[f"i{k}w{i}" for i in range(100)] for k in range(2)] + [[dice.choice("abcd") for _ in range(40)]]
+    bench = decontamination.Benchmark([(k, " ".join(w)) for k, w in enumerate(items)], 5, 20, 0.8)
+    pad, texts = [f"p{i}" for i in range(60)], []
+    for w in items:
+        half = len(w) // 2
+        texts += [pad + w[half:] + w[:half] + pad, pad + w[half:] + ["gap"] + w[:half] + pad, w[half + 4:] + w[:half + 4],
+                  pad + w[:-3], w[1:-1], w * 3, pad + w[10:20] + w[:10] + w[20:] + pad + w]
+    swapped = 0
+    for text in texts:
+        want = {}
+        for k, w in enumerate(items):
+            c = Counter(decontamination.shingles(w, 5))
+            found = [(decontamination.weighted_similarity(Counter(decontamination.shingles(text[s:s + len(w)], 5)), c), -s)
+                     for s in range(max(1, len(text) - len(w) + 1))]
+            if max(found)[0] >= 0.8:
+                want[k] = (-max(found)[1], max(found)[0])
+        got = {i: (start, similarity) for i, start, _, _, similarity in bench.leaks(" ".join(text))}
+        assert got == want
+        swapped += text is texts[0] and 0 in want
+        windows = bench.windows(text)
+        assert list(bench.prints_of(text, windows)) == [bench.print_of(text[s:s + n]) for s, n in windows]
+    assert swapped
