@@ -63,7 +63,8 @@ def similar_in_shard(nodes: np.ndarray, prints: np.ndarray, signatures: np.ndarr
     """Links (node, node) of a shard that connect what looks similar: at most one per row and group.
 
     A row searches the tree of those before it, only along edges within the radius, and is linked to each group that
-    holds a row with enough equal min-hashes, the most equal first.
+    holds a row with enough equal min-hashes, the most equal first. The links are not verified yet: what a link that
+    fails was to connect is for :func:`similar_across`.
     """
     tree, over, found = BKTree(), list(range(len(nodes))), []
 
@@ -85,24 +86,46 @@ def similar_in_shard(nodes: np.ndarray, prints: np.ndarray, signatures: np.ndarr
     return found
 
 
-def candidates(parts: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes to look at exactly, from the trees of each part of (shard, key, part, node, fp, signature)."""
+def similar_across(nodes: np.ndarray, prints: np.ndarray, signatures: np.ndarray,
+                   roots: np.ndarray) -> list[tuple[int, int]]:
+    """All links (node, node) of a part between rows of different groups that look similar.
+
+    Every row outside the part's largest group is held against all rows, so no such pair is left out.
+    """
+    groups_, inverse, sizes = np.unique(roots, return_inverse=True, return_counts=True)
+    found, bits = [], prints.view(np.uint64)
+    for i in np.flatnonzero(inverse != sizes.argmax()).tolist():
+        near = np.flatnonzero((np.bitwise_count(bits ^ bits[i]) <= RADIUS) & (inverse != inverse[i]))
+        if len(near):
+            near = near[(signatures[near] == signatures[i]).mean(axis=1) >= LEAST_EQUAL]
+            found += [(int(nodes[i]), n) for n in nodes[near].tolist()]
+    return found
+
+
+def candidates(parts: DataFrame, *root: str) -> DataFrame:
+    """(a, b): pairs of nodes to look at exactly, from each part of (shard, key, part, node, fp, signature).
+
+    Without `root`, the links of its tree that connect what looks similar. With the name of a column that holds the group
+    of each node so far, all pairs between groups that look similar.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] | None = None
 
-        def links(keys, nodes, prints, signatures) -> pa.RecordBatch:
+        def links(keys, nodes, prints, signatures, *roots) -> pa.RecordBatch:
             cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
             starts, ends, out = np.r_[0, cuts], np.r_[cuts, len(keys)], []
             for k in np.flatnonzero(ends - starts > 1):
                 s = slice(starts[k], ends[k])
-                out += similar_in_shard(nodes[s], prints[s], signatures[s])
+                search = similar_across if roots else similar_in_shard
+                out += search(nodes[s], prints[s], signatures[s], *(r[s] for r in roots))
             pairs = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             bytes_ = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
             new = (np.column_stack([batch.column(i).to_numpy() for i in range(3)]),
-                   batch.column(3).to_numpy(), batch.column(4).to_numpy(), bytes_)
+                   batch.column(3).to_numpy(), batch.column(4).to_numpy(), bytes_,
+                   *(batch.column(6 + i).to_numpy() for i in range(len(root))))
             rows = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new, strict=True))
             last = np.flatnonzero((rows[0] != rows[0][-1]).any(axis=1))
             cut = last[-1] + 1 if len(last) else 0
@@ -113,7 +136,9 @@ def candidates(parts: DataFrame) -> DataFrame:
             yield links(*rest)
 
     place = ["shard", "key", "part"]
-    rows = parts.select(*place, "node", "fp", "signature").repartition(*place).sortWithinPartitions(*place, "node")
+    # Shards order their rows differently, so that their trees tend to connect a group by different links.
+    rows = parts.select(*place, "node", "fp", "signature", *root).repartition(*place).sortWithinPartitions(
+        *place, F.xxhash64("node", "shard"), "node")
     return rows.mapInArrow(run, "a long, b long").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -131,22 +156,29 @@ def dealt(pieces: Column) -> Column:
 def groups(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """(node, root) of linked nodes: verified links from the shards that the keys of (node, fp, signature, keys) name.
 
-    A shard of more than SHARD_ROWS rows is searched in parts first. Most of a large shard is one group of copies, which
-    its parts and the other shards connect. The rows outside the shard's largest group so far are then searched for
-    against all of its rows, in blocks, so that cutting a shard loses no link and no task holds a whole one.
+    First the trees of each shard give links that connect what looks similar, at most one per row and group. Some are not
+    similar enough on the whole texts, and what they were to connect may be connected by other pairs. So each shard whose
+    rows are in several groups of verified links is searched again for all pairs between its groups, and those are
+    verified: two rows of a shard that look similar are in one group or were looked at exactly.
+
+    A shard of more than SHARD_ROWS rows is searched in parts first; most of it is one group of copies, which its parts and
+    the other shards connect. The rows outside the shard's largest group are then held against all of its rows, in blocks,
+    so that cutting a shard loses no link and no task holds a whole one.
     """
     keyed = texts.select(F.posexplode("keys").alias("shard", "key"), "node", "fp", "signature").withColumn(
         "shard", F.col("shard").cast("long"))
     place = ["shard", "key"]
     large = stored(keyed.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS), "large-shards")
     first = keyed.join(large, place, "left").withColumn("part", F.coalesce(dealt(pieces_of(F.col("n"))), F.lit(0)))
-    links = stored(verified(docs, texts, stored(candidates(first), "pairs"), words, least), "found-links")
-    roots = connected_components(links)
-    rows = keyed.join(large, place).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stored(rows, "large-rows")
-    main = rows.groupBy(*place, "root").agg(F.count("*").alias("k")).groupBy(*place).agg(
-        F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("m")).where("m > 0")
-    open_rows = rows.join(main, place).withColumns({"parts": pieces_of(F.col("n")), "blocks": pieces_of(F.col("m"))})
+    looked = stored(candidates(first), "pairs")
+    links = verified(docs, texts, looked, words, least)
+    roots = connected_components(stored(links, "found-links"))
+    rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = stored(rooted.groupBy(*place, "root").agg(F.count("*").alias("k")).groupBy(*place).agg(
+        F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("n"),
+        (F.sum("k") - F.max("k")).alias("m")).where("m > 0"), "open-shards")
+    open_rows = stored(rooted.join(several, place), "open-rows").withColumns(
+        {"parts": pieces_of(F.col("n")), "blocks": pieces_of(F.col("m"))})
 
     def up_to(n: str) -> Column:
         return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -155,12 +187,13 @@ def groups(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataF
     everyone = open_rows.withColumn("p", dealt(F.col("parts"))).withColumn("b", F.explode(up_to("blocks")))
     others = open_rows.where("root <> main").withColumn("b", dealt(F.col("blocks"))).withColumn(
         "p", F.explode(up_to("parts")))
-    columns = [*place, "part", "node", "fp", "signature"]
-    met = everyone.unionByName(others).withColumn("part", F.col("p") * F.col("blocks") + F.col("b")).select(*columns)
-    again = stored(candidates(met.dropDuplicates([*place, "part", "node"])), "pairs")
+    columns = [*place, "part", "node", "fp", "signature", "root"]
+    met = everyone.unionByName(others.where("parts > 1 OR blocks > 1")).withColumn(
+        "part", F.col("p") * F.col("blocks") + F.col("b")).select(*columns)
+    again = stored(candidates(met.dropDuplicates([*place, "part", "node"]), "root"), "pairs")
     if again.isEmpty():
         return roots
-    new = verified(docs, texts, again.join(links, ["a", "b"], "left_anti"), words, least)
+    new = verified(docs, texts, again.join(looked, ["a", "b"], "left_anti"), words, least)
     # The groups so far are stars already: few rounds join them through the new links.
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
 

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -88,3 +89,28 @@ def test_a_large_shard_loses_no_link(spark, monkeypatch):
     texts = [" ".join(f"w{k}" for k in range(6 * i, 6 * i + 120)) for i in range(60)]
     docs = spark.createDataFrame([*enumerate(texts), (60, "something else")], "doc_id long, text string")
     assert sorted(r.doc_id for r in near_documents.one_of_each(docs).collect()) == [0, 60]
+
+
+@pytest.mark.parametrize("shard_rows", [near_documents.SHARD_ROWS, 8])
+def test_groups_that_straddle_the_least_similarity(spark, monkeypatch, shard_rows):
+    """Edited copies of templates: what connects them is looked for although some links between them fail."""
+    monkeypatch.setattr(near_documents, "SHARD_ROWS", shard_rows)
+    dice, texts = random.Random(3), []
+    for g in range(60):
+        template = [f"t{g}w{i}" for i in range(200)]
+        for v in range(20):
+            words = list(template)
+            for place in dice.sample(range(200), dice.randrange(9)):
+                words[place] = f"e{g}v{v}p{place}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_documents.sketches(docs, 5).collect()
+    sets = {r.doc_id: set(simhash.shingle_hashes(texts[r.doc_id], 5).tolist()) for r in rows}
+    links = [(x.doc_id, y.doc_id) for x, y in combinations(sorted(rows, key=lambda r: r.doc_id), 2)
+             if x.doc_id // 20 == y.doc_id // 20 and any(a == b for a, b in zip(x["keys"], y["keys"], strict=True))
+             and ((x.fp ^ y.fp) % (1 << 64)).bit_count() <= near_documents.RADIUS
+             and sum(a == b for a, b in zip(x.signature, y.signature, strict=True))
+             >= near_documents.LEAST_EQUAL * near_documents.HASHES
+             and len(sets[x.doc_id] & sets[y.doc_id]) >= 0.8 * len(sets[x.doc_id] | sets[y.doc_id])]
+    want = sorted(n for n, top in groups(links, sets).items() if n == top)
+    assert sorted(r.doc_id for r in near_documents.one_of_each(docs).collect()) == want
