@@ -20,6 +20,8 @@ BESIDE_CHARS, BESIDE_WORDS = 80, 3
 #: Different surroundings that a term must share with an entity, and the share of the entity's own information that a
 #: term must give away to be disclosing.
 LEAST_CONTEXTS, DISCLOSURE = 3, 0.95
+#: What lies between words, in an entity's company as in the corpus.
+NO_WORD = r"[^\p{L}\p{N}]+"
 SPAN = "array<struct<start:int,stop:int,text:string>>"
 
 
@@ -101,11 +103,28 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("found", F.array_sort(F.concat(*parts)))
 
 
+def words_in(text: Column) -> Column:
+    """The words of a text, runs of letters and digits, lower case."""
+    return F.array_remove(F.split(F.lower(text), NO_WORD), "")
+
+
 def words_beside(text: Column, last: bool) -> Column:
-    """The whole words of a piece of text beside an entity, the nearest BESIDE_WORDS of them, lower case."""
-    words = F.array_remove(F.split(F.lower(text), GAPS), "")
-    bare = F.array_remove(F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), "")
-    return F.slice(F.reverse(bare), 1, BESIDE_WORDS) if last else F.slice(bare, 1, BESIDE_WORDS)
+    """The words, in order, of the BESIDE_WORDS nearest between white space in a piece of text beside an entity.
+
+    The piece has BESIDE_CHARS + 1 characters at most. What runs into the entity, or is cut at a full piece's far end, is
+    no word.
+    """
+    near, far = (r"[\p{L}\p{N}]+$", r"^[\p{L}\p{N}]+") if last else (r"^[\p{L}\p{N}]+", r"[\p{L}\p{N}]+$")
+    whole = F.regexp_replace(F.when(F.length(text) > BESIDE_CHARS, F.regexp_replace(text, far, "")).otherwise(text), near, "")
+    spaced = F.filter(F.split(whole, GAPS), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    return words_in(F.array_join(let(spaced, lambda w: F.slice(
+        w, F.greatest(F.lit(1), F.size(w) - BESIDE_WORDS + 1) if last else F.lit(1), F.lit(BESIDE_WORDS))), " "))
+
+
+def following_words(words: Column) -> Column:
+    """(term, next) of each word: `next` is the digest of the word after it, NULL for the last."""
+    return F.transform(words, lambda x, i: F.struct(x.alias("term"), F.when(
+        i + 1 < F.size(words), F.xxhash64(F.get(words, i + 1))).alias("next")))
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -114,37 +133,36 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Entities are the base matches. A term's company is counted in different surroundings, so copies of a text count
     once. With N surroundings, c of the entity, o of the term in the whole corpus and b of both, the term discloses
     log(N b / (c o)) out of the entity's log(N / c); from DISCLOSURE of it on, and with LEAST_CONTEXTS surroundings, it
-    goes. Occurrences o are counted over all documents, in different word pairs that the term begins, and are at least
-    the term's surroundings beside all entities.
+    goes. Occurrences o are counted over all documents, in different word pairs that the term begins.
     """
     entity = F.coalesce(*(F.when(F.col("s.kind") == kind, F.concat(F.lit(kind + ":"), form(F.col("s.text"))))
                           for kind, (_, _, _, form) in KINDS.items()))
-    start = F.greatest(F.col("s.start") - BESIDE_CHARS, F.lit(0))
+    start = F.greatest(F.col("s.start") - BESIDE_CHARS - 1, F.lit(0))
     before = F.substring(F.col("text"), start + 1, F.col("s.start") - start)
-    after = F.substring(F.col("text"), F.col("s.stop") + 1, F.lit(BESIDE_CHARS))
-    seen = spans.select("text", F.explode("found").alias("s")).select(entity.alias("entity"), F.concat(
+    after = F.substring(F.col("text"), F.col("s.stop") + 1, F.lit(BESIDE_CHARS + 1))
+    seen = spans.select("text", F.explode("found").alias("s")).select(entity.alias("entity"), F.array(
         words_beside(before, True), words_beside(after, False)).alias("near"))
     told = stored(seen.select("entity", "near", F.xxhash64("near").alias("context")).distinct(), "company")
     sizes = told.groupBy("entity").agg(F.count("*").alias("c"))
     n = told.agg(F.count("*").alias("N")).first().N
-    company = told.select("entity", "context", F.explode(F.array_distinct("near")).alias("term"))
-    beside = company.groupBy("term").agg(F.count("*").alias("beside"))
-    # b surroundings disclose only if the term occurs at most b * (N / c) ** (1 - DISCLOSURE) times, and it occurs at
-    # least as often as beside all entities together: so words that stand beside many entities go before the corpus is
-    # searched. Entities with few surroundings can have no term with enough of them.
+    company = told.select("entity", "context", F.explode(F.array_distinct(F.flatten("near"))).alias("term"))
+    beginning = F.flatten(F.transform("near", lambda w: F.filter(following_words(w), lambda p: p.next.isNotNull())))
+    beside = told.select(F.explode(beginning).alias("p")).select("p.term", "p.next").distinct().groupBy("term").agg(
+        F.count("*").alias("beside"))
+    # b surroundings disclose only if the term occurs at most b * (N / c) ** (1 - DISCLOSURE) times (never under b). The
+    # word pairs that it begins beside entities are some of those in the corpus: a term with too many of them goes before
+    # the corpus is searched, and no other. Entities with few surroundings can have no term with enough of them.
     most = F.col("b") * F.pow(n / F.col("c"), F.lit(1 - DISCLOSURE))
     pairs = stored(company.join(sizes.where(F.col("c") >= LEAST_CONTEXTS), "entity").groupBy("entity", "term").agg(
         F.first("c").alias("c"), F.count("*").alias("b")).where(F.col("b") >= LEAST_CONTEXTS).join(
-        beside, "term").where((F.col("c") < n) & (F.col("beside") <= most)), "pairs")
+        beside, "term", "left").where((F.col("c") < n) & (F.coalesce("beside", F.lit(0)) <= most)), "pairs")
     if pairs.isEmpty():
         return pairs.select("term")
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    following = let(words, lambda w: F.transform(w, lambda x, i: F.struct(
-        x.alias("term"), F.xxhash64(F.get(w, i + 1)).alias("next"))))
+    following = let(words_in(F.coalesce("text", F.lit(""))), following_words)
     wanted = pairs.select("term").distinct()
     occurring = docs.select(F.explode(following).alias("p")).select("p.term", "p.next").join(wanted, "term").distinct()
     often = occurring.groupBy("term").agg(F.count("*").alias("o"))
-    return pairs.join(often, "term").where(F.greatest("o", "beside") <= most).select("term").distinct()
+    return pairs.join(often, "term").where(F.col("o") <= most).select("term").distinct()
 
 
 def with_terms(spans: DataFrame, terms: DataFrame) -> DataFrame:
@@ -152,7 +170,7 @@ def with_terms(spans: DataFrame, terms: DataFrame) -> DataFrame:
 
     Texts are matched with the terms by their words; a text is known by two digests, so copies share the work.
     """
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))
+    words = F.array_distinct(words_in(F.coalesce("text", F.lit(""))))
     key = [F.xxhash64("text").alias("h1"), F.crc32(F.coalesce("text", F.lit(""))).alias("h2")]
     held = spans.select(*key, F.explode(words).alias("term")).join(terms, "term").groupBy("h1", "h2").agg(
         F.array_sort(F.collect_set("term")).alias("held"))

@@ -71,6 +71,18 @@ def test_disclosing_term(spark):
     assert out[0] == "alpha0 beta0 <TERM> <EMAIL> gamma0 common the0" and out[-1] == "I met <TERM> today"
 
 
+def test_disclosing_terms_beside_two_entities_and_of_two_words(spark):
+    """A signature's name beside an e-mail and a phone is counted once per place; hyphens split names on both sides."""
+    rows = [f"alpha{i} Zorbo boss@y.example Zorbo +49 30 1234567 omega{i}" for i in range(10)]
+    rows += [f"u{i} Jean-Luc O'Neil jl@y.example v{i}" for i in range(4)]
+    rows += [f"common word{i} other{i}@z.example common text{i}" for i in range(900)]
+    df = spark.createDataFrame(list(enumerate([*rows, "Seen: jean-luc, zorbo."])), "doc_id long, text string")
+    out = [r.text for r in pii.sanitised(df).orderBy("doc_id").collect()]
+    assert out[0] == "alpha0 <TERM> <EMAIL> <TERM> <PHONE> omega0"
+    assert out[10] == "u0 <TERM>-<TERM> <TERM>'<TERM> <EMAIL> v0" and out[14] == rows[14].replace("other0@z.example", "<EMAIL>")
+    assert out[-1] == "Seen: <TERM>-<TERM>, <TERM>."
+
+
 def test_quality_counts(docs, no_docs):
     def slow(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
