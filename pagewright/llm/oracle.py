@@ -112,3 +112,22 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bound > 0.35 THEN 'block
        round(bound, 6) AS bound
 FROM pages_ LEFT JOIN fits USING (page_id) JOIN bounds USING (host)
 """
+
+FILL_IN_MIDDLE = r"""
+WITH hashed AS (
+    SELECT doc_id::BIGINT AS doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t FROM documents),
+drawn AS (
+    SELECT *, len(t) AS n, ('0x' || h[1:8])::BIGINT % (len(t) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(t) + 1) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                     OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM hashed),
+cut AS (
+    SELECT *, array_to_string(t[1:least(a, b)], '') AS p, array_to_string(t[least(a, b) + 1:greatest(a, b)], '') AS m,
+           array_to_string(t[greatest(a, b) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                   ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     chat,
     decontamination,
+    fill_middle,
     line_dedup,
     oracle,
     packing,
@@ -27,9 +28,11 @@ QUERIES = {
     "op8_line_hashing": line_dedup.op8_line_hashing,
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
     "op10_disclosure": pii.op10_disclosure,
+    "op12_piece_table": fill_middle.op12_piece_table,
 }
 ORACLES = {
     "op2_host_reputation": oracle.REPUTATION,
     "op4_adaptive_rules": oracle.RULES,
     "op7_schema_chat": oracle.CHAT,
+    "op12_piece_table": oracle.FILL_IN_MIDDLE,
 }

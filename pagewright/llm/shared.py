@@ -56,3 +56,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; none for NULL."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAPS), "")
+
+
+def by_slice(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str) -> DataFrame:
+    """Run `work` on slices of at most BATCH_ROWS rows; it returns the columns of `schema` for each.
+
+    Spark bounds its Arrow batches in bytes (64 MB) and the slices share their memory, so no setting of the
+    session changes. A row longer than that bound is a batch of its own.
+    """
+    fields = [part.rsplit(" ", 1) for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+    arrow = pa.schema([pa.field(name, kinds[kind]) for name, kind in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                out = work(batch.slice(at, BATCH_ROWS))
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
