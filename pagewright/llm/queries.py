@@ -6,6 +6,7 @@ from . import (
     chat,
     decontamination,
     fill_middle,
+    hard_negatives,
     line_dedup,
     oracle,
     packing,
@@ -29,10 +30,12 @@ QUERIES = {
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
     "op10_disclosure": pii.op10_disclosure,
     "op12_piece_table": fill_middle.op12_piece_table,
+    "op13_one_bit_codes": hard_negatives.op13_one_bit_codes,
 }
 ORACLES = {
     "op2_host_reputation": oracle.REPUTATION,
     "op4_adaptive_rules": oracle.RULES,
     "op7_schema_chat": oracle.CHAT,
     "op12_piece_table": oracle.FILL_IN_MIDDLE,
+    "op13_one_bit_codes": oracle.HARD_NEGATIVES,
 }
