@@ -1,11 +1,11 @@
 """Hard negatives: rows of another label whose score lies in a band below a positive's.
 
-Vectors are integers. A code keeps the signs of a rotated vector, with the vector's alignment to its code and its length.
-The rotation is two rounds of random signs and a Hadamard matrix, so it maps integers to integers and products grow by a
-known factor: nothing below rests on rounding. For an anchor, popcounts of a code with the bit planes of the rotated anchor
-estimate their product; what the planes drop is a sum known exactly, and what the code misses is orthogonal to it and bound
-by Cauchy-Schwarz. The interval that follows is certain. Rows whose interval meets the wanted band, and can reach the first
-ones in it, are scored on their integers. So the answer is exact, the codes only save work.
+Vectors are integers. A code keeps the signs of a rotated vector and the vector's alignment to it; further rounds code what
+is left, as one bit a component leaves six tenths of a vector's length, too much for intervals that exclude anything.
+A rotation is rounds of random signs and a Hadamard matrix. For an anchor, popcounts of a code with the bit planes of the
+rotated anchor estimate their product; what the planes drop is a sum known exactly, and what the code misses is orthogonal to
+it and bound by Cauchy-Schwarz. The interval that follows is certain. Rows whose interval meets the wanted band, and can reach
+the first ones in it, are scored on their integers. So the answer is exact, the codes only save work.
 
 Anchors are a stated share of the rows and meet all rows in blocks: a block of rows is a row of the plan, and so is a block
 of anchors, and a task sees one pair of blocks at a time. Rows are dealt to blocks evenly, whatever their label or value.
@@ -30,8 +30,8 @@ POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90
 #: Rows of a block, anchors of a block, anchors a task works on at a time.
 BLOCK_ROWS, BLOCK_ANCHORS, AT_ONCE = 8_192, 1_024, 32
-#: Bits kept of a rotated anchor, and components from which on a vector counts as not finite (products stay below 2^63).
-PLANES, LARGEST = 10, 1 << 26
+#: Codes per row, bits kept of a rotated anchor, and components from which on a vector counts as not finite (products stay below 2^63).
+ROUNDS, PLANES, LARGEST = 6, 12, 1 << 26
 SEED = 13
 
 BLOCK = "ids binary, labels binary, rows binary, vectors binary, n long"
@@ -43,69 +43,98 @@ def padded(width: int) -> int:
     return max(64, 1 << (max(width, 1) - 1).bit_length())
 
 
-def rotated(vectors: np.ndarray) -> np.ndarray:
-    """Two rounds of random signs and a Hadamard matrix; products grow by the square of the padded width.
+def signs(width: int, turn: int) -> np.ndarray:
+    return np.random.default_rng([SEED, turn]).integers(0, 2, width) * 2 - 1
 
-    The values are integers below 2^53, and so exact, for components below 2^53 / width^2; callers widen intervals for more.
-    """
+
+def turned(values: np.ndarray, turn: int) -> np.ndarray:
+    """Random signs and a Hadamard matrix: a rotation that also grows products by the width."""
+    width = values.shape[1]
+    out, half = values * signs(width, turn), 1
+    while half < width:
+        pairs = out.reshape(len(out), -1, 2, half)
+        out = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(out), width)
+        half *= 2
+    return out
+
+
+def rotated(vectors: np.ndarray) -> np.ndarray:
+    """Integer vectors turned twice: products grow by the square of the padded width."""
     width = padded(vectors.shape[1])
     out = np.zeros((len(vectors), width))
     out[:, :vectors.shape[1]] = vectors
-    signs = np.random.default_rng(SEED).integers(0, 2, (2, width)) * 2 - 1
-    for turn in signs:
-        out = out * turn
-        half = 1
-        while half < width:
-            pairs = out.reshape(len(out), -1, 2, half)
-            out = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(out), width)
-            half *= 2
-    return out
+    return turned(turned(out, 0), 1)
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=-1).view(np.uint64)
 
 
-class Codes:
-    """One-bit codes of rows: words of sign bits, alignment, length of the vector and of what the code misses."""
+def lengths(values: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", values, values))
 
-    def __init__(self, vectors: np.ndarray) -> None:
-        turned = rotated(vectors)
-        self.width = turned.shape[1]
-        self.words = packed(turned >= 0)
-        self.along = np.abs(turned).sum(axis=1)
-        squares = np.einsum("ij,ij->i", turned, turned)
-        self.length = np.sqrt(squares)
-        self.missed = np.sqrt(np.maximum(squares - self.along ** 2 / self.width, 0))
 
-    def intervals(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the products of each anchor with each row."""
-        turned = rotated(anchors)
-        least = turned.min(axis=1, keepdims=True)
-        span = (turned - least).max(axis=1, keepdims=True)
-        step = np.maximum(np.exp2(np.ceil(np.log2(np.maximum(span, 1) + 1)) - PLANES), 1)
-        kept = np.floor((turned - least) / step).astype(np.int64)
-        # The planes stand for kept * step + middle + least; the rest of each component is known.
-        middle = np.where(step > 1, (step - 1) / 2, 0)
-        rest = np.abs(turned - least - kept * step - middle).sum(axis=1)
-        agreed = np.zeros((len(anchors), len(self.words)))
-        for bit in range(PLANES):
-            plane = packed(((kept >> bit) & 1).astype(bool))
+class Planes:
+    """A turned anchor as bit planes: component = step * planes + middle + least, but for a rest whose size is known."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        least = values.min(axis=1, keepdims=True)
+        span = (values - least).max(axis=1, keepdims=True)
+        self.step = np.exp2(np.ceil(np.log2(np.maximum(span, 1) + 1)) - PLANES)
+        kept = np.floor((values - least) / self.step).astype(np.int64)
+        self.base = self.step / 2 + least
+        self.rest = np.abs(values - kept * self.step - self.base).sum(axis=1, keepdims=True)
+        self.total = kept.sum(axis=1, keepdims=True)
+        self.planes = [packed(((kept >> bit) & 1).astype(bool)) for bit in range(PLANES)]
+
+    def near(self, words: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        """The products with codes, up to the rest, from popcounts."""
+        agreed = np.zeros((len(self.step), len(words)))
+        for bit, plane in enumerate(self.planes):
             both = np.zeros(agreed.shape, np.int32)
             for word in range(plane.shape[1]):
-                both += np.bitwise_count(plane[:, word, None] & self.words[None, :, word])
+                both += np.bitwise_count(plane[:, word, None] & words[None, :, word])
             agreed += both * float(1 << bit)
-        ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
-        signs = 2.0 * ones - self.width
-        near = (step * (2 * agreed - kept.sum(axis=1, keepdims=True)) + (middle + least) * signs)
-        rest = rest[:, None]
-        squares = np.einsum("ij,ij->i", turned, turned)[:, None]
-        beside = np.sqrt(np.maximum(squares - np.maximum(np.abs(near) - rest, 0) ** 2 / self.width, 0))
-        middle = self.along * near / self.width
-        reach = self.along * rest / self.width + self.missed * beside
-        reach += 1e-9 * np.sqrt(squares) * self.length + 1  # what floating-point sums may be off
+        return self.step * (2 * agreed - self.total) + self.base * signs
+
+
+class Codes:
+    """One-bit codes of rows: per round words of sign bits and their alignment, at last the length of what they miss.
+
+    The first code has the signs of the rotated vector, each further one those of what is left, turned once more.
+    """
+
+    def __init__(self, vectors: np.ndarray, rounds: int = ROUNDS) -> None:
+        left = rotated(vectors)
+        self.width = left.shape[1]
+        self.length = lengths(left)
+        self.rounds = []
+        for turn in range(rounds):
+            left = turned(left, turn + 1) / np.sqrt(self.width) if turn else left
+            up = left >= 0
+            along = np.abs(left).sum(axis=1) / self.width
+            words = packed(up)
+            self.rounds.append((words, along, 2.0 * np.bitwise_count(words).sum(axis=1, dtype=np.int64) - self.width))
+            left = left - np.where(up, 1, -1) * along[:, None]
+        self.missed = lengths(left)
+
+    def intervals(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the products of each anchor with each row."""
+        values = rotated(anchors)
+        long = lengths(values)[:, None]
+        centre, reach = 0.0, 0.0
+        for turn, (words, along, signs_of) in enumerate(self.rounds):
+            values = turned(values, turn + 1) / np.sqrt(self.width) if turn else values
+            planes = Planes(values)
+            near = planes.near(words, signs_of)
+            centre = centre + along * near
+            reach = reach + along * planes.rest
+        # What the codes miss is orthogonal to the last of them.
+        beside = np.sqrt(np.maximum(long ** 2 - np.maximum(np.abs(near) - planes.rest, 0) ** 2 / self.width, 0))
+        reach = reach + self.missed * beside
+        reach += 1e-9 * long * self.length + 1  # what floating-point sums may be off
         grown = float(self.width) ** 2
-        return (middle - reach) / grown, (middle + reach) / grown
+        return (centre - reach) / grown, (centre + reach) / grown
 
 
 # ------------------------------------------------------------------ rows and blocks

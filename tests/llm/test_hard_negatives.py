@@ -70,3 +70,11 @@ def test_intervals_hold_the_product(width, size):
     assert (lower <= exact).all() and (upper >= exact).all()
     turned = hn.rotated(rows)
     assert np.allclose(turned @ turned.T, hn.padded(width) ** 2 * (rows.astype(float) @ rows.T.astype(float)))
+
+
+def test_codes_exclude_most_rows():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(0, 40, (4000, 64)).astype(np.int32)
+    lower, upper = hn.Codes(rows).intervals(rows[:20])
+    kept = [hn.reachable(lower[i], upper[i], np.ones(4000, bool), 5).mean() for i in range(20)]
+    assert np.mean(kept) < .1
