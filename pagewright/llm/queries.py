@@ -7,6 +7,7 @@ from . import (
     decontamination,
     fill_middle,
     hard_negatives,
+    html_extraction,
     line_dedup,
     oracle,
     packing,
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_line_hashing": line_dedup.op8_line_hashing,
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
     "op10_disclosure": pii.op10_disclosure,
+    "op11_dom_crf": html_extraction.op11_dom_crf,
     "op12_piece_table": fill_middle.op12_piece_table,
     "op13_one_bit_codes": hard_negatives.op13_one_bit_codes,
 }
