@@ -163,7 +163,24 @@ def session_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~done).alias("is_processing"), done.alias("is_completed"))
 
 
-def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_clicks(events: DataFrame) -> DataFrame:
     """Every event as a click, in time compressed so that bursts below one second occur."""
-    return events(spark, sf_dir).select(
-        "user_id", "event_id", F.floor(epoch_ms(F.col("ts")) / 20000).cast("long").alias("at_ms"))
+    return events.select("user_id", "event_id", F.floor(epoch_ms(F.col("ts")) / 20000).cast("long").alias("at_ms"))
+
+
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_clicks(events(spark, sf_dir))
+
+
+def as_feed_steps(events: DataFrame) -> DataFrame:
+    """Task steps with a message, timed in milliseconds."""
+    return as_task_steps(events).select("task_id", "event_id", epoch_ms(F.col("ts")).alias("at_ms"), "status",
+                                        F.concat(F.lit("step "), F.col("step")).alias("message"))
+
+
+def as_subscriptions(events: DataFrame) -> DataFrame:
+    """Every fiftieth event as a subscription, every ninth of these to a task that does not exist."""
+    unknown = F.when(F.col("event_id") % 450 == 0, 1_000_000_000).otherwise(0)
+    return events.filter(F.col("event_id") % 50 == 0).select(
+        F.col("event_id").alias("sub_id"), (F.col("user_id") + unknown).cast("long").alias("task_id"),
+        epoch_ms(F.col("ts")).alias("at_ms"))

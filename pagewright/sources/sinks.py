@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import final_name
 from ..streaming.feeds import status_lines
+from .versioned import Version, VersionedTable
 
 
 def write_final_texts(docs: DataFrame, name: Column, path: str) -> None:
@@ -19,22 +20,17 @@ def write_texts(docs: DataFrame, path: str) -> None:
     docs.select("file_name", F.col("text").alias("value")).write.partitionBy("file_name").mode("overwrite").text(path)
 
 
-def append_snapshots(sessions: DataFrame, path: str) -> None:
-    """Add session snapshots in full; a caller that wants them small applies ``compact_sessions`` first."""
-    sessions.write.mode("append").parquet(path)
+def append_snapshots(sessions: DataFrame, table: VersionedTable) -> Version:
+    """Add session snapshots in full, all or none; a caller that wants them small applies ``compact_sessions`` first."""
+    return table.append(sessions)
 
 
-def clear_table(spark: SparkSession, path: str) -> int:
-    """Empty a table and return how many rows it had."""
-    table = spark.read.parquet(path)
-    cleared = table.count()
-    spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
-    return cleared
+def clear_tables(tables: dict[str, VersionedTable]) -> dict[str, int]:
+    """Empty a table per kind (logs, errors) and return the rows each had, and all of them as ``total``.
 
-
-def clear_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, int]:
-    """Empty a table per kind (logs, errors) and return the rows each had, and all of them as ``total``."""
-    cleared = {kind: clear_table(spark, path) for kind, path in paths.items()}
+    Rows that are added while a table is counted are neither counted nor cleared.
+    """
+    cleared = {kind: table.clear() for kind, table in tables.items()}
     return {**cleared, "total": sum(cleared.values())}
 
 

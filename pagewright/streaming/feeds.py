@@ -1,22 +1,21 @@
-"""Streams over log, task, page and click feeds.
+"""Views and streams over log, task, page and click feeds.
 
-Every operator emits in append mode, so the results can go to plain file tables with exactly-once commits.
-
-What must hold to the last row and in any order of arrival (task states, page progress, throttled clicks) lands as
-narrow rows, without a watermark, and is worked out from the landed table: nothing is late, and the answer does not
-depend on how files are cut into batches. Windows and sessions carry a 10-minute watermark: they appear once closed,
-and rows behind it are dropped.
+Counts, metrics, task states, page progress and sessions are running views: each batch is merged into a compact state
+table (:mod:`.running`), so no row is late or lost and the answer does not depend on the batches. Throttled clicks and
+status feeds, which answer row by row and in order, are stateful streams (:mod:`.stateful`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..session import run_folder
+from .running import View, aggregated
 
-WATERMARK = "10 minutes"
+#: Buckets that sessions are built from; shorter than any gap between sessions.
+BUCKET = "1 minute"
 
 
 def read_feed(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -39,34 +38,45 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
-def _windowed(stream: DataFrame, width: str, keys: list[str], **aggregates: Column) -> DataFrame:
-    return (stream.withWatermark("ts", WATERMARK).groupBy(F.window("ts", width).alias("w"), *keys)
-            .agg(*[aggregate.alias(name) for name, aggregate in aggregates.items()])
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys, *aggregates))
+def _start(width: str) -> Column:
+    return F.window("ts", width)["start"].cast("timestamp_ntz")
 
 
-def log_count_windows(logs: DataFrame, width: str = "2 seconds") -> DataFrame:
-    """Entries per level and window."""
-    return _windowed(logs, width, ["level"], total=F.count(F.lit(1)))
+def log_count_windows(width: str = "2 seconds") -> View:
+    """Entries per level and window, of logs."""
+    return aggregated({"window_start": _start(width), "level": F.col("level")}, total=(F.count(F.lit(1)), F.sum))
 
 
-def metric_windows(samples: DataFrame, width: str = "30 seconds") -> DataFrame:
+def metric_windows(width: str = "30 seconds") -> View:
     """Samples, mean and peak of ``value`` per window."""
-    return _windowed(samples, width, [], samples=F.count(F.lit(1)), mean_value=F.avg("value"),
-                     peak_value=F.max("value"))
+    def finish(state: DataFrame) -> DataFrame:
+        return state.select("window_start", "samples", (F.col("sum_value") / F.col("known")).alias("mean_value"), "peak_value")
+
+    return aggregated({"window_start": _start(width)}, finish, samples=(F.count(F.lit(1)), F.sum),
+                      known=(F.count("value"), F.sum), sum_value=(F.sum("value"), F.sum), peak_value=(F.max("value"), F.max))
+
+
+def page_progress() -> View:
+    """Finished and seen pages per document, from ``doc_id, is_done``."""
+    return aggregated({"doc_id": F.col("doc_id")}, done=(F.count_if("is_done"), F.sum), seen=(F.count(F.lit(1)), F.sum))
 
 
-def page_progress(pages: DataFrame) -> DataFrame:
-    """Finished and seen pages per document so far, from ``doc_id, is_done`` rows that a stream has landed."""
-    return pages.groupBy("doc_id").agg(F.count_if("is_done").alias("done"), F.count(F.lit(1)).alias("seen"))
+def task_states() -> View:
+    """State per task now, from its steps; the first terminal state is final."""
+    step = F.struct("ts", "event_id", "status")
+    ended = F.when(F.col("status").isin(P.TERMINAL_STATES), step)
 
+    def finish(state: DataFrame) -> DataFrame:
+        return state.select("task_id", F.coalesce("first_end.status", "latest.status").alias("status"))
 
-def task_states(steps: DataFrame) -> DataFrame:
-    """State per task now, from the step rows that a stream has landed; the first terminal state is final."""
-    at = F.struct("ts", "event_id")
-    ended = F.when(F.col("status").isin(P.TERMINAL_STATES), at)
-    return steps.groupBy("task_id").agg(F.coalesce(
-        F.min_by("status", ended), F.max_by("status", at)).alias("status"))
+    return aggregated({"task_id": F.col("task_id")}, finish, first_end=(F.min(ended), F.min), latest=(F.max(step), F.max))
+
+
+def finished_once() -> View:
+    """Every finished task a single time, with its first terminal step."""
+    step = F.struct("ts", "event_id", "status")
+    view = aggregated({"task_id": F.col("task_id")}, first_end=(F.min(step), F.min))
+    return View(lambda steps: view.partial(steps.filter(F.col("status").isin(P.TERMINAL_STATES))), view.merge)
 
 
 def status_lines(steps: DataFrame) -> DataFrame:
@@ -75,14 +85,28 @@ def status_lines(steps: DataFrame) -> DataFrame:
     return steps.select(F.concat(F.lit("data: "), body, F.lit("\n")).alias("value"))
 
 
-def finished_once(steps: DataFrame) -> DataFrame:
-    """Every finished task a single time, on its first terminal row."""
-    return steps.filter(F.col("status").isin(P.TERMINAL_STATES)).select("task_id").dropDuplicates(["task_id"])
+def session_windows(gap: str = "30 minutes") -> View:
+    """Sessions per user, with a pause of the gap or more between them: start, events and duration up to the last event.
+
+    Events become buckets before sessions are built, so a user with any share of the rows is spread over tasks, and only
+    buckets and sessions are put in order. State rows are sessions; those of two batches merge where they are nearer than the gap.
+    """
+    def joined(parts: DataFrame) -> DataFrame:
+        before = Window.partitionBy("user_id").orderBy("first_ts", "last_ts")
+        opens = F.coalesce(F.col("first_ts") >= F.max("last_ts").over(before.rowsBetween(Window.unboundedPreceding, -1))
+                           + F.expr(f"INTERVAL {gap}"), F.lit(True))
+        number = F.count_if("_opens").over(before.rowsBetween(Window.unboundedPreceding, 0))
+        return (parts.withColumn("_opens", opens).withColumn("_session", number).groupBy("user_id", "_session")
+                .agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"))
+                .drop("_session"))
+
+    def partial(events: DataFrame) -> DataFrame:
+        buckets = events.groupBy("user_id", F.window("ts", BUCKET).alias("_bucket")).agg(
+            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"))
+        return joined(buckets.drop("_bucket"))
 
+    def finish(state: DataFrame) -> DataFrame:
+        return state.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("session_start"), "events",
+                            (F.unix_millis("last_ts") - F.unix_millis("first_ts")).alias("duration_ms"))
 
-def session_windows(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Sessions per user: start, number of events and duration up to the last event."""
-    at = F.unix_millis("ts")
-    return (events.withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
-            .agg(F.count(F.lit(1)).alias("events"), (F.max(at) - F.min(at)).alias("duration_ms"))
-            .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "events", "duration_ms"))
+    return View(partial, joined, finish)

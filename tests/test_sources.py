@@ -5,9 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import runs
-from pagewright.operators.throttle import throttle
 from pagewright.sources import intake, sinks
+from pagewright.sources.versioned import VersionedTable
 from pagewright.streaming import feeds
 from pagewright.plans import derived
 
@@ -42,27 +41,13 @@ def test_text_sink(spark, tmp_path):
     assert (folder / part[0]).read_text() == "l1\nl2\n"
 
 
-def test_clear(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(7).write.parquet(path)
-    assert sinks.clear_table(spark, path) == 7
-    assert spark.read.parquet(path).count() == 0
-
-
-def test_clear_per_kind(spark, tmp_path):
-    paths = {kind: str(tmp_path / kind) for kind in ("logs", "errors")}
-    spark.range(3).write.parquet(paths["logs"])
-    spark.range(2).write.parquet(paths["errors"])
-    assert sinks.clear_tables(spark, paths) == {"logs": 3, "errors": 2, "total": 5}
-    assert sinks.clear_tables(spark, paths)["total"] == 0
-
-
 def test_snapshots_append(spark, tmp_path):
     df = spark.createDataFrame([(1, ["l"], [("b", None)])],
                                "id long, debug_logs array<string>, results array<struct<text: string, image_url: string>>")
+    table = VersionedTable(spark, str(tmp_path / "s"))
     for _ in range(2):
-        sinks.append_snapshots(df, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+        sinks.append_snapshots(df, table)
+    assert table.read().count() == 2
 
 
 def test_large_snapshot_is_stored_in_full(spark, tmp_path, monkeypatch):
@@ -70,8 +55,9 @@ def test_large_snapshot_is_stored_in_full(spark, tmp_path, monkeypatch):
     logs = [f"line {i}" for i in range(300)]
     df = spark.createDataFrame([(1, logs, [("b", "image")])],
                                "id long, debug_logs array<string>, results array<struct<text: string, image_url: string>>")
-    sinks.append_snapshots(df, str(tmp_path / "s"))
-    row = spark.read.parquet(str(tmp_path / "s")).first()
+    table = VersionedTable(spark, str(tmp_path / "s"))
+    sinks.append_snapshots(df, table)
+    row = table.read().first()
     assert row.debug_logs == logs and row.results[0].image_url == "image"
 
 
@@ -80,43 +66,3 @@ def test_status_lines(spark, sf_dir, tmp_path):
     sinks.stream_status_lines(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     lines = [r.value for r in spark.read.text(str(tmp_path / "o")).filter("value <> ''").collect()]
     assert lines and all(json.loads(line.removeprefix("data: "))["status"] for line in lines)
-
-
-def test_landed_feeds_do_not_depend_on_batches(spark, sf_dir, tmp_path):
-    """Shuffled files, one a batch: task states, progress and throttle equal the batch operators on all events."""
-    folder = str(tmp_path / "shuffled")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.repartition(6, F.rand(7)).write.parquet(folder)
-    events = spark.read.parquet(folder)
-
-    def landed(view, name):
-        stream = feeds.read_feed(spark, folder, files_per_trigger=1)
-        table = feeds.run_to_table(view(stream), name)
-        assert table.count() == events.count()
-        return table
-
-    def clicks(df):
-        return df.select("user_id", "event_id", (F.unix_millis(F.col("ts").cast("timestamp")) / 20000).cast("long").alias("at_ms"))
-
-    def done(df):
-        return df.select(F.col("user_id").alias("doc_id"), (F.col("event_type") == "view").alias("is_done"))
-
-    def rows(df):
-        return sorted(map(tuple, df.collect()))
-
-    passed = rows(throttle(landed(clicks, "clicks"), "user_id"))
-    assert passed == rows(throttle(clicks(events), "user_id"))
-    states = rows(feeds.task_states(landed(derived.as_task_steps, "tasks")))
-    assert states == rows(runs.task_status(derived.as_task_steps(events)).select("task_id", "status"))
-    assert rows(feeds.page_progress(landed(done, "pages"))) == rows(feeds.page_progress(done(events)))
-
-
-def test_stream_in_many_batches_equals_one(spark, sf_dir, tmp_path):
-    """The same events in several files and batches give the same closed windows."""
-    folder = str(tmp_path / "events")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.repartitionByRange(5, "ts").sortWithinPartitions("ts").write.parquet(folder)
-    one = feeds.run_to_table(feeds.log_count_windows(derived.as_logs(feeds.read_feed(spark, folder)), "1 hour"), "a")
-    many = feeds.run_to_table(feeds.log_count_windows(
-        derived.as_logs(feeds.read_feed(spark, folder, files_per_trigger=5)), "1 hour"), "b")
-    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
