@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .slices import SLICE, numbered, sliced
+from .slices import SLICE, numbered, fixed
 
 TEXT_CHUNK = 30_000
 PAGE_CHUNK = 5
@@ -30,7 +30,7 @@ def page_chunks(pages: DataFrame, size: int = PAGE_CHUNK, extraction_every: int
                 correction_every: int = 5) -> DataFrame:
     """Position of each listed page in its document, its chunk, and where progress is saved."""
     at = F.col("item_no")
-    return (numbered(sliced(pages, F.col("page_no"), 1_000), ["doc_id"], ["page_no"], "item_no")
+    return (numbered(fixed(pages, F.col("page_no"), 1_000), ["doc_id"], ["page_no"], "item_no")
             .withColumn("chunk_no", F.floor((at - 1) / size).cast("long"))
             .withColumn("saves_extraction", at % extraction_every == 0)
             .withColumn("saves_correction", at % correction_every == 0).drop(SLICE))

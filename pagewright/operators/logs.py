@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.formats import epoch_ms, log_line
 from ..functions.text import has_any
-from .slices import numbered, overlapped, sliced
+from .slices import ROWS, cuts, numbered, overlapped, sliced
 
 #: Retention of the log, of the errors and of a client's view.
 KEEP_LOGS, KEEP_ERRORS, KEEP_CLIENT = 1000, 100, 200
@@ -143,20 +143,38 @@ def phase_states(phase: Column) -> list[Column]:
             for p in (1, 2, 3, 4)]
 
 
-def current_phase(logs: DataFrame, n: int = 10, words: dict[int, list[str]] = P.PHASE_WORDS) -> DataFrame:
-    """Phase now: the highest named in the newest ``n`` messages."""
-    return retain_latest(logs, n).agg(F.coalesce(F.max(phase_of(F.col("message"), words)), F.lit(0)).alias("phase"))
+def overridden(phase: Column, is_formatting: Column, is_processing: Column) -> Column:
+    """What the state of the run says over its messages: formatting is phase 4, and a running one at least in phase 1.
+
+    Only phases 1 to 4 are shown; NULL states say nothing.
+    """
+    return (F.when(F.coalesce(is_formatting, F.lit(False)), 4)
+            .when(F.coalesce(is_processing, F.lit(False)), F.greatest(phase, F.lit(1))).otherwise(phase))
+
+
+def current_phase(logs: DataFrame, n: int = 10, words: dict[int, list[str]] = P.PHASE_WORDS, is_formatting: bool = False,
+                  is_processing: bool = False) -> DataFrame:
+    """Phase now: the highest named in the newest ``n`` messages, unless the state of the run says more."""
+    named = F.coalesce(F.max(phase_of(F.col("message"), words)), F.lit(0))
+    return retain_latest(logs, n).agg(overridden(named, F.lit(is_formatting), F.lit(is_processing)).alias("phase"))
 
 
-def phase_window(logs: DataFrame, n: int = 10, slice_ms: int = 3_600_000, block: int = 10_000) -> DataFrame:
-    """Phase after every log entry, over the ``n`` messages up to it.
+def phase_window(logs: DataFrame, n: int = 10, rows: int = ROWS, block: int = 10_000, is_formatting: Column | None = None,
+                 is_processing: Column | None = None) -> DataFrame:
+    """Phase after every log entry, over the ``n`` messages up to it, unless the state of the run then says more.
 
     Entries are numbered through time slices and then cut into blocks that carry copies of the
-    ``n - 1`` entries before them, so no task holds the whole log.
+    ``n - 1`` entries before them, so no task holds the whole log, however dense it is.
     """
-    narrow = sliced(logs.select("id", "ts", phase_of(F.col("message")).alias("_named")), epoch_ms(F.col("ts")), slice_ms)
-    rows = overlapped(numbered(narrow, [], ["ts", "id"], "_no"), "_no", block, n - 1)
+    none = F.lit(False)
+    at = epoch_ms(F.col("ts"))
+    narrow = logs.select("id", "ts", phase_of(F.col("message")).alias("_named"),
+                         (none if is_formatting is None else is_formatting).alias("_formatting"),
+                         (none if is_processing is None else is_processing).alias("_processing"))
+    parted = sliced(narrow, at, cuts(logs, at, rows))
+    copied = overlapped(numbered(parted, [], ["ts", "id"], "_no"), "_no", block, n - 1)
     frame = Window.partitionBy("_block").orderBy("_no").rowsBetween(1 - n, 0)
     phase = F.col("phase")
-    return (rows.withColumn("phase", F.max("_named").over(frame)).filter(~F.col("_copy"))
+    return (copied.withColumn("phase", F.max("_named").over(frame)).filter(~F.col("_copy"))
+            .withColumn("phase", overridden(phase, F.col("_formatting"), F.col("_processing")))
             .select("id", phase, *phase_states(phase)))

@@ -7,28 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.formats import duration_clock, duration_words, epoch_ms, expected_minutes, percent, round_half_up
-from .slices import SLICE, across, passed, sliced, summaries, with_summary, within
-
-HOUR_MS = 3_600_000
+from .slices import ROWS, SLICE, across, cuts, passed, sliced, summaries, with_summary, within
 
 
 # ------------------------------------------------------------------ step timers
-def step_durations(events: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def step_durations(events: DataFrame, rows: int = ROWS) -> DataFrame:
     """Timed occurrences of steps from ``run_id, event_id, ts, step_id, action`` (start / stop).
 
     A start closes whatever step is active. A stop sets the end of the latest occurrence of its
     step, the last stop winning. An occurrence is identified by the event that started it.
 
-    A run may be of any length: both looks along it (the start that follows, the start a stop
-    belongs to) are taken within time slices, and carried over slices by summary rows. The rows
-    themselves are shuffled by (run, slice) once, and once more to meet their start.
+    A run may be of any length and density: both looks along it (the start that follows, the start
+    a stop belongs to) are taken within time slices of about ``rows`` events, and carried over
+    slices by summary rows. The rows themselves are shuffled by (run, slice) once, and once more to
+    meet their start.
     """
     at = F.struct("at_ms", "event_id")
     start = F.when(F.col("action") == "start", at)
-    rows = sliced(events.select("run_id", "event_id", "step_id", "action", epoch_ms(F.col("ts")).alias("at_ms")),
-                  F.col("at_ms"), slice_ms)
+    narrow = events.select("run_id", "event_id", "step_id", "action", epoch_ms(F.col("ts")).alias("at_ms"))
+    parted = sliced(narrow, F.col("at_ms"), cuts(narrow, F.col("at_ms"), rows))
 
-    per_step = summaries(rows, ["run_id", "step_id"], F.min(start).alias("_first"), F.max(start).alias("_last"))
+    per_step = summaries(parted, ["run_id", "step_id"], F.min(start).alias("_first"), F.max(start).alias("_last"))
     earlier = passed(across(["run_id", "step_id"]))
     later = passed(across(["run_id"], F.desc(SLICE)))
     # Per run and slice: the last start of each step before it, and the first start of any step behind it.
@@ -40,7 +39,7 @@ def step_durations(events: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
 
     following = passed(within(["run_id"], [F.desc("at_ms"), F.desc("event_id")]))
     so_far = within(["run_id", "step_id"], ["at_ms", "event_id"]).rowsBetween(Window.unboundedPreceding, 0)
-    owned = (with_summary(rows, carried, ["run_id"])
+    owned = (with_summary(parted, carried, ["run_id"])
              .withColumn("_next", F.coalesce(F.last(start, ignorenulls=True).over(following), F.col("_behind")))
              .withColumn("_own", F.coalesce(F.last(start, ignorenulls=True).over(so_far),
                                             F.try_element_at("_before", F.col("step_id"))))

@@ -1,24 +1,52 @@
 """Ordered work over keys of any size.
 
 A window over a key puts that key in one task. Where one key may hold a large share of all
-rows, the rows are cut into slices by the *value* of the order column (a time span, a page
-range). Within a slice an ordinary window runs; across slices only one summary row per slice
-is ordered. Slices depend on values alone, so a lost task recomputes the same ones.
+rows, the rows are cut into slices along the order column. The cuts come from a quantile sketch
+of that column, so slices hold about the same number of rows however dense the rows lie: a log
+of an hour is cut like one of a year. Within a slice an ordinary window runs; across slices only
+one summary row per slice is ordered, and there are at most ``MOST_SLICES``. The cuts are worked
+out once, so a lost task recomputes the same slices.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+#: Rows a slice is meant to hold, and the most slices; tables of more rows have larger slices, not more.
+ROWS, MOST_SLICES = 100_000, 2_048
+
 
+def cuts(df: DataFrame, position: Column, rows: int = ROWS) -> list[float]:
+    """Ascending values that part the positions into slices of about ``rows`` rows; none for a small table.
+
+    One pass over the column. Equal positions are never parted.
+    """
+    shares = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
+    value = position.cast("double")
+    found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, shares, 8 * MOST_SLICES).alias("cuts")).first()
+    every = max(1, MOST_SLICES * rows // max(found.n, 1))
+    return sorted(set((found.cuts or [])[every - 1::every]))
 
-def sliced(df: DataFrame, position: Column, width: int) -> DataFrame:
-    """Add the slice number of an integer position (milliseconds, page number ...)."""
+
+def fixed(df: DataFrame, position: Column, width: int) -> DataFrame:
+    """Slices of a fixed width, for integer positions of which a width holds a bounded number of rows."""
     return df.withColumn(SLICE, F.floor(position / width).cast("long"))
 
 
+def sliced(df: DataFrame, position: Column, at: Sequence[float]) -> DataFrame:
+    """Add the slice of a numeric position: how many cuts lie at or below it; NULL for NULL."""
+    if not at:
+        return df.withColumn(SLICE, F.when(position.isNotNull(), F.lit(0)).cast("long"))
+    find = Bucketizer(splits=[-float("inf"), *at, float("inf")], inputCol="_position", outputCol=SLICE, handleInvalid="keep")
+    return (find.transform(df.withColumn("_position", position.cast("double")))
+            .withColumn(SLICE, F.when(F.col("_position").isNotNull(), F.col(SLICE)).cast("long")).drop("_position"))
+
+
 def within(keys: list[str], order: list[str | Column]):
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 

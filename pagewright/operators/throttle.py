@@ -3,14 +3,16 @@
 What passes depends on all before it, so one window or one group per user would hold a user's
 whole history in a task. Instead every (user, time slice) is solved for each way it can be
 entered - the carry only matters for the first event taken, and that lies within ``gap`` ms of
-the slice start or is the first event at all. These small tables are chained per user, and a
-second pass replays each slice from its true entry. Events of one user in the same millisecond
-are reduced to the first beforehand, so a slice holds at most ``slice_ms`` events.
+the slice start or is the first event at all. These small tables, step functions of the carry, are
+walked in order, a row at a time and with nothing kept but the carry; a second pass replays each
+slice from its true entry. Events of one user in the same millisecond are reduced to the first
+beforehand, so a slice holds at most ``slice_ms`` events.
 """
 
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import SLICE, across, sliced, within
+from .slices import SLICE, fixed, within
 
 GAP_MS = 1000
 HOUR_MS = 3_600_000
@@ -66,7 +68,7 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
     if slice_ms <= gap:
         raise ValueError("a slice must be longer than the gap")
     # One shuffle by (key, slice) serves the reduction, both passes and the join between them.
-    firsts = (sliced(events.select(key, "event_id", "at_ms"), F.col("at_ms"), slice_ms).repartition(key, SLICE)
+    firsts = (fixed(events.select(key, "event_id", "at_ms"), F.col("at_ms"), slice_ms).repartition(key, SLICE)
               .groupBy(key, SLICE, "at_ms").agg(F.min("event_id").alias("event_id")))
     kind = dict(events.dtypes)[key]
 
@@ -89,11 +91,23 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
             # Neighbouring candidates mostly lead to the same end; the last of each run stands for it.
             final = np.append(ends[:-1] != ends[1:], True) | ~np.append(candidate[1:], False)
             closing = np.flatnonzero(candidate & (final | (last != np.append(last[1:], -1))))
-            first_at = at[np.repeat(starts, np.diff(np.append(starts, len(at))))]
-            out = {key: pdf[key].to_numpy(), SLICE: slices, "up_to": at, "last_at": last, "first_at": first_at,
-                   "end_at": at[ends - 1]}
+            out = {key: pdf[key].to_numpy(), SLICE: slices, "up_to": at, "last_at": last}
             yield pd.DataFrame({name: values[closing] for name, values in out.items()})
 
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The carry that enters each slice: none, or the last event that passes before it."""
+        user, carried = None, -1
+        for pdf, starts in _groups(batches, key):
+            users, up_to, last = (pdf[name].tolist() for name in (key, "up_to", "last_at"))
+            ends, entered = [*starts.tolist()[1:], len(users)], []
+            for start, end in zip(starts.tolist(), ends, strict=True):
+                if users[start] != user:
+                    user, carried = users[start], -1
+                entered.append(carried)
+                at = start if carried < 0 else bisect_left(up_to, carried + gap, start, end)
+                carried = last[at] if at < end else carried
+            yield pdf.iloc[starts][[key, SLICE]].assign(carried=entered)
+
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, starts in _groups(batches, key):
             at, carried = pdf["at_ms"].to_numpy(), pdf["carried"].to_numpy()
@@ -115,28 +129,7 @@ def throttle(events: DataFrame, key: str, gap: int = GAP_MS, slice_ms: int = HOU
         """Whole slices in time order. The window makes that a requirement no later planning may undo."""
         return df.withColumn("_at", F.row_number().over(within([key], ["at_ms"])))
 
-    table = in_order(firsts).mapInPandas(entries, f"{key} {kind}, {SLICE} bigint, up_to bigint, last_at bigint, first_at bigint, end_at bigint")
-
-    # Walks the slice tables of a chain in time order, keeping the carry that enters each.
-    def step(state, entry):
-        carried = state["last"]
-        index = F.size(F.filter(entry["ends"], lambda end: end["up_to"] < carried + gap))
-        last = F.coalesce(F.get(entry["ends"], F.when(carried < 0, F.lit(0)).otherwise(index))["last_at"], carried)
-        entered = F.struct(entry[SLICE].alias(SLICE), carried.alias("carried"))
-        return F.struct(last.alias("last"), F.array_append(state["entered"], entered).alias("entered"))
-
-    start = F.struct(F.lit(-1).cast("bigint").alias("last"),
-                     F.array().cast(f"array<struct<{SLICE}:bigint,carried:bigint>>").alias("entered"))
-    per_slice = table.groupBy(key, SLICE).agg(
-        F.array_sort(F.collect_list(F.struct("up_to", "last_at"))).alias("ends"),
-        F.min("first_at").alias("first_at"), F.max("end_at").alias("end_at"))
-    # A pause of the gap or more before a slice makes its entry independent; only slices without one form a chain.
-    along = across([key])
-    paused = F.coalesce(F.col("first_at") - F.lag("end_at").over(along) >= gap, F.lit(True))
-    chains = (per_slice.withColumn("_paused", paused)
-              .withColumn("_chain", F.count_if("_paused").over(along.rowsBetween(Window.unboundedPreceding, 0))))
-    chained = (chains.groupBy(key, "_chain")
-               .agg(F.array_sort(F.collect_list(F.struct(SLICE, "ends"))).alias("_slices"))
-               .select(key, F.explode_outer(F.aggregate("_slices", start, step)["entered"]).alias("e"))
-               .select(key, "e.*"))
+    table = in_order(firsts).mapInPandas(entries, f"{key} {kind}, {SLICE} bigint, up_to bigint, last_at bigint")
+    whole = Window.partitionBy(key).orderBy(SLICE, "up_to")
+    chained = table.withColumn("_at", F.row_number().over(whole)).mapInPandas(walk, f"{key} {kind}, {SLICE} bigint, carried bigint")
     return in_order(firsts.join(chained, [key, SLICE])).mapInPandas(replay, f"{key} {kind}, event_id bigint, at_ms bigint")

@@ -61,6 +61,10 @@ def states(phase: str) -> str:
 
 PHASE_WINDOW = f"""WITH {LOGS}, named AS (SELECT id, max({_PHASE}) OVER (ORDER BY ts, id
 ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS phase FROM logs) SELECT id, phase, {states('phase')} FROM named"""
+PHASE_WITH_STATE = f"""WITH {LOGS}, named AS (SELECT id, level, max({_PHASE}) OVER (ORDER BY ts, id
+ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS p FROM logs),
+told AS (SELECT id, CASE WHEN id % 37 = 0 THEN 4 WHEN level = 'info' AND p = 0 THEN 1 ELSE p END AS phase FROM named)
+SELECT id, phase, {states('phase')} FROM told"""
 CURRENT_PHASE = f"""WITH {LOGS} SELECT max({_PHASE}) AS phase FROM (SELECT * FROM logs ORDER BY ts DESC, id DESC LIMIT 10)"""
 
 STEPS = """steps AS (SELECT user_id AS run_id, event_id, (epoch_us(ts) // 1000) AS at_ms, concat('phase', event_id % 4 + 1) AS step_id,

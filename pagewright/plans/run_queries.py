@@ -74,6 +74,12 @@ def phase_window(spark, sf_dir):
     return logs.phase_window(derived.logs(spark, sf_dir))
 
 
+def phase_with_state(spark, sf_dir):
+    """The same where the run is in process (info entries) or formatted (every 37th entry)."""
+    entries = derived.logs(spark, sf_dir)
+    return logs.phase_window(entries, is_formatting=F.col("id") % 37 == 0, is_processing=F.col("level") == "info")
+
+
 def current_phase(spark, sf_dir):
     return logs.current_phase(derived.logs(spark, sf_dir))
 
@@ -143,6 +149,6 @@ def workflow_step(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     log_query, log_level_counts, log_total, retained_logs, client_logs, retained_errors, status_summary, log_lines, error_summary, recent_errors, log_severity,
-    phase_window, current_phase, step_durations, step_averages, step_eta, progress_eta, task_status, task_lookup,
+    phase_window, phase_with_state, current_phase, step_durations, step_averages, step_eta, progress_eta, task_status, task_lookup,
     session_resume, session_length, click_throttle, workflow_step)}
 ORACLES = {name: getattr(oracle_runs, name.upper()) for name in QUERIES}
