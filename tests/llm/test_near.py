@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -93,7 +95,7 @@ def test_a_large_shard_loses_no_link(spark, monkeypatch):
 
 @pytest.mark.parametrize("shard_rows", [near_documents.SHARD_ROWS, 8])
 def test_groups_that_straddle_the_least_similarity(spark, monkeypatch, shard_rows):
-    """Edited copies of templates: what connects them is looked for although some links between them fail."""
+    """Edited copies of templates: of the texts that share a shard, all similar enough are joined, whatever other links fail."""
     monkeypatch.setattr(near_documents, "SHARD_ROWS", shard_rows)
     dice, texts = random.Random(3), []
     for g in range(60):
@@ -108,9 +110,39 @@ def test_groups_that_straddle_the_least_similarity(spark, monkeypatch, shard_row
     sets = {r.doc_id: set(simhash.shingle_hashes(texts[r.doc_id], 5).tolist()) for r in rows}
     links = [(x.doc_id, y.doc_id) for x, y in combinations(sorted(rows, key=lambda r: r.doc_id), 2)
              if x.doc_id // 20 == y.doc_id // 20 and any(a == b for a, b in zip(x["keys"], y["keys"], strict=True))
-             and ((x.fp ^ y.fp) % (1 << 64)).bit_count() <= near_documents.RADIUS
-             and sum(a == b for a, b in zip(x.signature, y.signature, strict=True))
-             >= near_documents.LEAST_EQUAL * near_documents.HASHES
              and len(sets[x.doc_id] & sets[y.doc_id]) >= 0.8 * len(sets[x.doc_id] | sets[y.doc_id])]
     want = sorted(n for n, top in groups(links, sets).items() if n == top)
     assert sorted(r.doc_id for r in near_documents.one_of_each(docs).collect()) == want
+
+
+def edited(dice, count, edits, size=200):
+    """Sets of shingles of a template with words exchanged."""
+    out = []
+    for v in range(count):
+        words = [f"w{i}" for i in range(size)]
+        for place in dice.sample(range(size), edits):
+            words[place] = f"e{v}p{place}"
+        out.append(np.unique(simhash.shingle_hashes(" ".join(words), 5)).view(np.int64))
+    return out
+
+
+@pytest.mark.parametrize("count", [150, 300, 600])
+def test_failing_pairs_leave_no_trace(count):
+    """Texts like a template, but below the least similarity to one another: no row for any of the pairs."""
+    sets = edited(random.Random(5), count, 9)
+    assert sum(len(np.intersect1d(sets[0], x)) / len(np.union1d(sets[0], x)) >= .8 for x in sets[1:]) == 0
+    nodes = np.arange(count)
+    assert near_documents.joining_links(nodes, nodes, pa.array([x.tolist() for x in sets], pa.list_(pa.int64())), .8) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joining_links_against_all_pairs(seed):
+    dice = random.Random(seed)
+    sets = [x for edits in (0, 1, 3, 5, 8) for x in edited(dice, 12, edits)] + [np.empty(0, np.int64)] * 3
+    roots = np.array([dice.randrange(25) * 100 for _ in sets])
+    links = near_documents.joining_links(np.arange(len(sets)), roots, pa.array([x.tolist() for x in sets], pa.list_(pa.int64())), .8)
+    true = [(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i]) and len(sets[j])
+            and len(np.intersect1d(sets[i], sets[j])) >= .8 * len(np.union1d(sets[i], sets[j]))]
+    same = [(i, j) for i, j in combinations(range(len(sets)), 2) if roots[i] == roots[j]]
+    assert groups(links + same, range(len(sets))) == groups(true + same, range(len(sets)))
+    assert len(links) < len(set(roots.tolist())) and {tuple(sorted(x)) for x in links} <= set(true)
