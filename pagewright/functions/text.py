@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +79,32 @@ def before(array: str) -> Column:
 def ahead(array: str, steps: int) -> Column:
     """The array from ``steps`` on; zipping fills the end with NULL."""
     return F.slice(array, F.lit(1 + steps), F.size(array))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row, however often the body, or a lambda in it, uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Values that :func:`running` adds up in one go; it copies an array for each.
+RUN = 64
+
+
+def running(values: Column) -> Column:
+    """Sums up to and including each element of a ``bigint`` array.
+
+    Adding to an array copies it, so sums run within short stretches, and the totals of stretches are added on top.
+    """
+    def last(sums: Column) -> Column:
+        return F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0).cast("long"))
+
+    def added(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.array().cast("array<bigint>"), lambda sums, n: F.array_append(sums, last(sums) + n))
+
+    def summed(numbers: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / RUN).cast("int")),
+                                lambda k: added(F.slice(numbers, k * RUN + 1, F.lit(RUN))))
+        return let(stretches, lambda parts: let(added(F.transform(parts, last)), lambda totals: F.flatten(F.transform(
+            parts, lambda part, k: let(F.get(totals, k) - last(part), lambda ahead_: F.transform(part, lambda n: n + ahead_))))))
+
+    return let(values, lambda numbers: F.when(F.size(numbers) == 0, F.array().cast("array<bigint>")).otherwise(summed(numbers)))

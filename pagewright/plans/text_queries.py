@@ -117,8 +117,7 @@ def outline_sections(spark, sf_dir):
 
 
 def outline_content(spark, sf_dir):
-    docs = derived.legal_docs(spark, sf_dir)
-    return outline.section_content(docs, outline.sections(docs))
+    return outline.section_content(derived.legal_docs(spark, sf_dir))
 
 
 def outline_summary(spark, sf_dir):
@@ -126,17 +125,13 @@ def outline_summary(spark, sf_dir):
 
 
 def outline_toc(spark, sf_dir):
-    docs = derived.legal_docs(spark, sf_dir)
-    return outline.toc(outline.sections(docs), docs)
+    return outline.toc(derived.legal_docs(spark, sf_dir))
 
 
 def outline_filter(spark, sf_dir):
     """Annexes out; of the other sections three are toggled once and one twice."""
-    docs = derived.legal_docs(spark, sf_dir)
-    found = outline.sections(docs)
-    clicks = derived.documents(spark, sf_dir).select(
-        "doc_id", F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 2, 2, 5, 9)])).alias("section_no"))
-    filtered = outline.exclude_sections(docs, found, annexes=True, ids=outline.toggled(clicks))
+    clicks = F.array(*[F.lit(n).cast("long") for n in (1, 2, 2, 5, 9)])
+    filtered = outline.exclude_sections(derived.legal_docs(spark, sf_dir), annexes=True, ids=outline.toggled(clicks))
     named = outline.filtered_files(filtered, F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".PDF")))
     return named.select("doc_id", "excluded_annexes", "excluded_sections", "kept_lines", "text", "file_name")
 

@@ -38,7 +38,7 @@ def test_documents_without_notes_count_zero(spark):
 
 def test_contents_of_a_document_without_sections(spark):
     docs = spark.createDataFrame([(1, "plain words\nmore words"), (2, None)], "doc_id long, text string")
-    out = {r.doc_id: r.toc for r in outline.toc(outline.sections(docs), docs).collect()}
+    out = {r.doc_id: r.toc for r in outline.toc(docs).collect()}
     assert out == {1: P.TOC_BANNER, 2: P.TOC_BANNER}
 
 

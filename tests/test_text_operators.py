@@ -1,10 +1,12 @@
 """Golden cases of pages, outline, footnotes, tags, replies and formats."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import formats, replies
-from pagewright.functions.text import universal_lines
+from pagewright.functions.text import running, universal_lines
 from pagewright.operators import chunks, footnotes, outline, pages, tags
 
 
@@ -64,11 +66,37 @@ def test_ten_capitals_end_but_start_nothing(spark):
 
 def test_exclusions(spark):
     df = docs(spark, OUTLINE_TEXT)
-    found = outline.sections(df)
-    ids = spark.createDataFrame([(0, 1), (0, 2)], "doc_id long, section_no long")
-    assert outline.exclude_sections(df, found, annexes=True).first().text == "CHAPTER 1\nfoo bar\nDefinitions\nbaz"
-    assert outline.exclude_sections(df, found, ids=ids).first().text == "CHAPTER 1\nfoo bar\nANNEX A\nqux"
-    assert outline.exclude_sections(df, found).first().text == OUTLINE_TEXT
+    ids = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
+    assert outline.exclude_sections(df, annexes=True).first().text == "CHAPTER 1\nfoo bar\nDefinitions\nbaz"
+    assert outline.exclude_sections(df, ids=ids).first().text == "CHAPTER 1\nfoo bar\nANNEX A\nqux"
+    assert outline.exclude_sections(df).first().text == OUTLINE_TEXT
+    row = outline.exclude_sections(df, annexes=True, ids=F.array(F.lit(0).cast("long"))).first()
+    assert (row.text, row.kept_lines, row.excluded_annexes, row.excluded_sections, row.total_lines) == ("", 0, 1, 1, 6)
+    assert outline.exclude_sections(df, ids=F.lit(None).cast("array<bigint>")).first().text == OUTLINE_TEXT
+
+
+def test_toggles(spark):
+    numbers = F.array(*[F.lit(n).cast("long") for n in (5, 1, 5, 2, 5, 1)])
+    assert sorted(value(spark, outline.toggled(numbers), x=1)) == [2, 5]
+
+
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 1000])
+def test_running_sums(spark, size):
+    numbers = [i * 7 % 11 for i in range(size)]
+    frame = spark.createDataFrame([(numbers,)], "n array<bigint>")
+    assert frame.select(running(F.col("n")).alias("s")).first().s == list(itertools.accumulate(numbers))
+
+
+def test_outline_needs_no_shuffle_and_survives_long_texts(spark):
+    """20,000 lines and half as many sections in a row; no exchange in any outline operator."""
+    text = "\n".join(f"Article {i}" if i % 2 else "some words here" for i in range(20_000))
+    df = docs(spark, text).union(docs(spark, None))
+    for made in (outline.sections(df), outline.section_content(df), outline.toc(df), outline.outline_summary(df),
+                 outline.exclude_sections(df, annexes=True, ids=F.array(F.lit(0).cast("long")))):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert outline.sections(df).agg(F.sum("word_count"), F.count("*")).first() == (20_000 + 30_000 - 3, 10_000)
+    kept = {r.total_lines: r.kept_lines for r in outline.exclude_sections(df, ids=F.array(F.lit(0).cast("long"))).collect()}
+    assert kept == {20_000: 19_998, None: None}
 
 
 @pytest.mark.parametrize("annex, section, expected", [
@@ -78,7 +106,7 @@ def test_filtered_name(spark, annex, section, expected):
 
 
 def test_toc(spark):
-    assert outline.toc(outline.sections(docs(spark, OUTLINE_TEXT)), docs(spark, OUTLINE_TEXT)).first().toc == (
+    assert outline.toc(docs(spark, OUTLINE_TEXT)).first().toc == (
         "TABLE OF CONTENTS\n==================\n\nCHAPTER 1 (Line 1)\n  Definitions (Line 3)\nANNEX A (Line 5)\n")
 
 
