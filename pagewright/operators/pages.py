@@ -161,17 +161,24 @@ def apply_corrections(pages: DataFrame, replies: DataFrame, arrival: Column | No
 
     Of several ``replies(doc_id, page_no, reply)`` for a page the last by ``arrival`` counts, without one
     the greatest text. NULL replies are none. Pages keep their number whatever the replies are.
+
+    Where pages say so in a column ``has_image``, those without an image are passed over and keep waiting.
+    Long but blank text is not sent: the page keeps it, with a note that there was none.
     """
     latest = replies.filter(F.col("reply").isNotNull()).groupBy(*KEYS).agg(
         F.max_by("reply", F.struct(F.col("reply") if arrival is None else arrival, "reply")).alias("reply"))
     waiting = F.col("status") == P.CORRECTING
+    if "has_image" in pages.columns:
+        waiting = waiting & F.coalesce("has_image", F.lit(False))
     method = correction_method(F.col("text"))
+    blank = (method == P.AI_CORRECTION) & ~F.rlike("text", F.lit(f"[^{P.JS_SPACE}]"))
+    unsent = F.struct(F.col("text").alias("text"), F.lit(P.NOTE_NO_TEXT).alias("changes"))
     # Routing decides which grammar the reply follows, so parsing comes after the join.
     parsed = F.when(method == P.AI_CORRECTION, parse_correction(F.col("reply"))).otherwise(
         parse_extraction(F.col("reply")))
     done = F.col("_fix").isNotNull()
     return (pages.join(latest, KEYS, "left")
-            .withColumn("_fix", F.when(waiting & F.col("reply").isNotNull(), parsed))
+            .withColumn("_fix", F.when(waiting & blank, unsent).when(waiting & F.col("reply").isNotNull(), parsed))
             .withColumn("method", F.when(done, method).otherwise(F.col("method")))
             .withColumn("status", F.when(done, P.COMPLETED).otherwise(F.col("status")))
             .withColumn("text", F.when(done, F.col("_fix.text")).otherwise(F.col("text")))
@@ -280,3 +287,15 @@ def footnote_summary(pages: DataFrame) -> DataFrame:
                   .agg(F.count_if(F.col("_pos") == 0).alias("_pages")))
     return per_marker.groupBy("doc_id").agg(
         F.sum("_pages").alias("pages_with_notes"), F.count("marker").alias("footnote_count"))
+
+
+def footnote_analysis(finals: DataFrame, pages: DataFrame) -> DataFrame:
+    """Distinct footnote markers in the final text of each document, and the pages that hold any, in ascending order.
+
+    Page numbers are collected per document, not their texts; documents without a final text are left out.
+    """
+    marker = F.lit(P.NOTE_MARKER)
+    holding = (pages.filter(F.rlike("text", marker)).groupBy("doc_id")
+               .agg(F.sort_array(F.collect_set("page_no")).alias("pages")))
+    counted = finals.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", marker, F.lit(0)))).cast("long").alias("footnote_count"))
+    return counted.join(holding, "doc_id", "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<int>")))

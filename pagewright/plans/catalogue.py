@@ -1,6 +1,7 @@
 """All queries and their SQL twins."""
 
-from . import run_queries, stream_queries, text_queries
+from . import intake_queries, run_queries, stream_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **run_queries.QUERIES, **stream_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **run_queries.ORACLES, **stream_queries.ORACLES}
+_PARTS = (text_queries, run_queries, stream_queries, intake_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

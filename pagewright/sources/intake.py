@@ -14,12 +14,16 @@ ERROR_SCHEMA = "id bigint, ts timestamp, error string, stack string, context str
 
 
 def document_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Identity of every PDF below a folder. File contents are not read."""
+    """Identity of every PDF below a folder: name, size, time of the last change, path. File contents are not read.
+
+    The name is the last part of the path; ``last_modified`` is in milliseconds since 1970,
+    whatever the time zone of the session.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]")
              .option("recursiveFileLookup", "true").load(folder))
     return files.select(
-        F.element_at(F.split(F.col("path"), "/"), -1).alias("name"), F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("last_modified"), "path")
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("_metadata.file_size").alias("size"),
+        F.unix_millis("_metadata.file_modification_time").alias("last_modified"), "path")
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers: text files, snapshots, status lines and clearing."""
+"""Writers: bundles of texts, snapshots, status lines and clearing."""
 
 from __future__ import annotations
 
@@ -10,14 +10,24 @@ from ..streaming.feeds import status_lines
 from .versioned import Version, VersionedTable
 
 
-def write_final_texts(docs: DataFrame, name: Column, path: str) -> None:
-    """One text per document, below its final file name."""
-    write_texts(docs.withColumn("file_name", final_name(name)), path)
+def write_final_texts(docs: DataFrame, name: Column, table: VersionedTable) -> Version:
+    """The texts of documents below their final file names; see :func:`write_texts`."""
+    return write_texts(docs.withColumn("file_name", final_name(name)), table)
 
 
-def write_texts(docs: DataFrame, path: str) -> None:
-    """``file_name, text`` as text files. Every document is one row, so no shuffle is needed."""
-    docs.select("file_name", F.col("text").alias("value")).write.partitionBy("file_name").mode("overwrite").text(path)
+def write_texts(docs: DataFrame, table: VersionedTable) -> Version:
+    """Texts ``doc_id, file_name, text`` in bundles: many documents a file, all of them or none.
+
+    Rows are sorted by name within their file, so the column statistics of Parquet are the index of names. Documents of
+    the same name both stay, told apart by ``doc_id``. No shuffle.
+    """
+    return table.append(docs.select("doc_id", "file_name", "text").sortWithinPartitions("file_name", "doc_id"))
+
+
+def read_texts(table: VersionedTable, *names: str) -> DataFrame:
+    """Bundled texts, all or those of some names; the names reach the scan."""
+    texts = table.read()
+    return texts.filter(F.col("file_name").isin(*names)) if names else texts
 
 
 def append_snapshots(sessions: DataFrame, table: VersionedTable) -> Version:

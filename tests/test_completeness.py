@@ -55,3 +55,23 @@ def test_null_run_keeps_its_steps(spark):
         "run_id long, event_id long, t string, step_id string, action string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
     out = {r.run_id: r.duration_ms for r in runs.step_durations(df).collect()}
     assert out == {None: 3 * 3_600_000, 7: None}
+
+
+def test_pages_without_image_wait_and_blank_text_is_not_sent(spark):
+    weak = spark.createDataFrame(
+        [(1, 1, "x" * 60, True), (1, 2, "x" * 60, False), (1, 3, " " * 60, True), (1, 4, "", True), (1, 5, "x", None)],
+        "doc_id long, page_no int, text string, has_image boolean").withColumns(
+            {"status": F.lit(P.CORRECTING), "method": F.lit(None).cast("string")})
+    replies = spark.createDataFrame([(1, n, "new") for n in (1, 2, 4, 5)], "doc_id long, page_no int, reply string")
+    out = {r.page_no: (r.text, r.status, r.changes) for r in pages.apply_corrections(weak, replies).collect()}
+    assert out == {1: ("new", P.COMPLETED, P.NOTE_CHANGES_MISSING), 2: ("x" * 60, P.CORRECTING, None),
+                   3: (" " * 60, P.COMPLETED, "No text to process"), 4: ("new", P.COMPLETED, P.NOTE_ANALYSIS_MISSING),
+                   5: ("x", P.CORRECTING, None)}
+
+
+def test_notes_of_the_final_text(spark):
+    parts = spark.createDataFrame([(1, 2, "<fn>a</fn>"), (1, 1, "b{{footnote7}}"), (1, 3, None), (2, 1, "none")],
+                                  "doc_id long, page_no int, text string")
+    finals = spark.createDataFrame([(1, "<fn>a</fn> <fn>a</fn> {{footnote9}}"), (2, "none"), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: (r.footnote_count, r.pages) for r in pages.footnote_analysis(finals, parts).collect()}
+    assert out[1] == (2, [1, 2]) and out[2] == (0, []) and out[3][1] == []

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.sources import intake, sinks
@@ -11,11 +12,23 @@ from pagewright.streaming import feeds
 from pagewright.plans import derived
 
 
-def test_inventory(spark, tmp_path):
-    for name in ("a.pdf", "b.PDF", "c.txt"):
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Kolkata"])
+def test_inventory(spark, tmp_path, zone):
+    """Names, sizes and times of PDFs at any depth, the same in every time zone."""
+    os.makedirs(tmp_path / "deep er")
+    for name in ("a.pdf", "b.PDF", "c.txt", "deep er/ä b.pdf"):
         (tmp_path / name).write_bytes(b"12345")
-    rows = intake.document_inventory(spark, str(tmp_path)).collect()
-    assert sorted((r.name, r.size) for r in rows) == [("a.pdf", 5), ("b.PDF", 5)]
+        os.utime(tmp_path / name, (1_700_000_000, 1_700_000_000.25))
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = intake.document_inventory(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    assert sorted((r.name, r.size, r.last_modified // 1000) for r in rows) == [
+        ("a.pdf", 5, 1_700_000_000), ("b.PDF", 5, 1_700_000_000), ("ä b.pdf", 5, 1_700_000_000)]
+    plan = intake.document_inventory(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in plan.split("ReadSchema")[-1]
 
 
 def test_page_texts(spark, tmp_path):
@@ -34,11 +47,18 @@ def test_posts_as_stream_equal_batch(spark, tmp_path):
 
 
 def test_text_sink(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "x.PDF", "l1\nl2")], "doc_id long, name string, text string")
-    sinks.write_final_texts(docs, F.col("name"), str(tmp_path / "out"))
-    folder = tmp_path / "out" / "file_name=x_final.txt"
-    part = [f for f in os.listdir(folder) if f.endswith(".txt")]
-    assert (folder / part[0]).read_text() == "l1\nl2\n"
+    """Many documents a file; two of one name both stay; a broken write leaves the table as it was."""
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.floor(F.col("id") / 2).cast("string"),
+                                   F.lit(".PDF")).alias("name"), F.concat(F.lit("l1\nl2 "), F.col("id").cast("string")).alias("text"))
+    table = VersionedTable(spark, str(tmp_path / "out"))
+    sinks.write_final_texts(docs.coalesce(2), F.col("name"), table)
+    files = [f for _, _, names in os.walk(tmp_path / "out") for f in names if f.endswith(".parquet")]
+    assert len(files) == 2
+    assert sorted(r.text for r in sinks.read_texts(table, "x3_final.txt").collect()) == ["l1\nl2 6", "l1\nl2 7"]
+    broken = docs.withColumn("text", F.when(F.col("doc_id") < 499, F.col("text")).otherwise(F.raise_error(F.lit("broken"))))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_final_texts(broken, F.col("name"), table)
+    assert sinks.read_texts(table).count() == 500
 
 
 def test_snapshots_append(spark, tmp_path):
