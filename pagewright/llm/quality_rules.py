@@ -9,6 +9,8 @@ from .shared import let, stored, table, words_of
 
 #: Fixed base rules: too short, or too much repeated.
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Words from which on a text's windows are sorted by whole hashes and words.
+LONG_TEXT = 1 << 18
 #: Documents a group needs for thresholds of its own; smaller groups use those of their language.
 LEAST_GROUP = 30
 #: Rank error of a sketch is at most one in so many rows.
@@ -25,24 +27,37 @@ LOWER = {"word_length": (1_500, 2_500)}
 def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more in the text, in n log n steps.
 
-    Window hashes and places share one long each, with as many bits for places as the text needs, so a primitive
-    sort brings equal windows together. Texts of n words have 64 - log2(n) hash bits: windows are told apart safely.
+    Equal windows come together by a sort. Window hashes and places share one long each, with as many bits for places as
+    the text needs, so the sort is a primitive one; up to LONG_TEXT words that leaves 46 hash bits or more. Longer texts,
+    where windows would share a hash by chance, sort them by whole hash, words and place.
     """
-    def count(bits: Column) -> Column:
+    def window(i: Column) -> list[Column]:
+        return [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
+
+    starts = F.sequence(F.lit(0), F.size(words) - 3)
+
+    def in_longs(bits: Column) -> Column:
         def high(x: Column) -> Column:
             return F.call_function("shiftright", x, bits)
 
-        windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.call_function(
-            "shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), bits)
-            .bitwiseOR(i.cast("long")))
+        windows = F.transform(starts, lambda i: F.call_function("shiftleft", F.xxhash64(*window(i)), bits)
+                              .bitwiseOR(i.cast("long")))
         twice = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: (high(x) == high(F.get(s, i + 1))) | (
             high(x) == high(F.get(s, i - 1)))))
-        places = F.sort_array(F.transform(twice, lambda x: x - F.call_function("shiftleft", high(x), bits)))
-        return let(places, lambda p: F.aggregate(
-            F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))),
-            F.lit(0).cast("long"), lambda total, x: total + x))
-
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(F.length(F.bin(F.size(words))), count))
+        return F.transform(twice, lambda x: x - F.call_function("shiftleft", high(x), bits))
+
+    def in_structs() -> Column:
+        windows = F.transform(starts, lambda i: let(F.struct(*window(i)), lambda w: F.struct(
+            F.struct(F.xxhash64(w).alias("h"), w.alias("w")).alias("key"), i.alias("at"))))
+        twice = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: (x["key"] == F.get(s, i + 1)["key"]) | (
+            x["key"] == F.get(s, i - 1)["key"])))
+        return F.transform(twice, lambda x: x["at"].cast("long"))
+
+    places = F.when(F.size(words) > LONG_TEXT, in_structs()).otherwise(let(F.length(F.bin(F.size(words))), in_longs))
+    covered = let(F.sort_array(places), lambda p: F.aggregate(
+        F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))),
+        F.lit(0).cast("long"), lambda total, x: total + x))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(covered)
 
 
 def measures(docs: DataFrame) -> DataFrame:
