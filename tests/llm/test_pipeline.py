@@ -18,5 +18,5 @@ def test_run(spark, sf_dir):
     assert got == sorted(map(tuple, expected.select(key).collect())) and got
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
