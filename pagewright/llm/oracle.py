@@ -46,19 +46,28 @@ shares AS (
 long AS (
     SELECT doc_id, lang, source, m, v FROM (SELECT * FROM shares WHERE NOT base_failed)
     UNPIVOT (v FOR m IN (symbols, repeated_lines, repeated_words, capitals, word_length))),
-own AS (SELECT lang, source, m, count(*) AS n, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.75) AS b
-        FROM long GROUP BY ALL),
-wide AS (SELECT lang, m, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.75) AS b FROM long GROUP BY ALL),
-chosen AS (SELECT o.lang, o.source, o.m, CASE WHEN n >= 30 THEN o.a ELSE w.a END AS a,
-                  CASE WHEN n >= 30 THEN o.b ELSE w.b END AS b
-           FROM own o JOIN wide w ON o.m = w.m AND o.lang IS NOT DISTINCT FROM w.lang),
-ends (m, low, high) AS (VALUES ('symbols', 40000, 150000), ('repeated_lines', 300000, 600000),
-    ('repeated_words', 200000, 450000), ('capitals', 150000, 400000), ('word_length', 12000, 25000)),
+own AS (SELECT lang, source, m, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM long GROUP BY ALL),
+wide AS (SELECT lang, m, count(*) AS k, quantile_disc(v, [0.1, 0.25, 0.5, 0.75, 0.9]) AS w FROM long GROUP BY ALL),
+whole AS (SELECT m, quantile_disc(v, [0.1, 0.25, 0.5, 0.75, 0.9]) AS a FROM long GROUP BY ALL),
+chosen AS (SELECT o.lang, o.source, o.m, CASE WHEN n >= 30 THEN q WHEN k >= 30 THEN w[2:4] ELSE a[2:4] END AS q,
+                  CASE WHEN k >= 300 THEN w[5] - w[4] ELSE a[5] - a[4] END AS above,
+                  CASE WHEN k >= 300 THEN w[2] - w[1] ELSE a[2] - a[1] END AS below
+           FROM own o JOIN wide w ON o.m = w.m AND o.lang IS NOT DISTINCT FROM w.lang JOIN whole a ON a.m = o.m),
+ends AS (SELECT lang, source, m, q[3] + 8 * greatest(q[3] - q[2], above, q[2] // 50) AS most,
+                q[1] - 8 * greatest(q[2] - q[1], below, q[2] // 50) AS least FROM chosen),
+-- counts that a share is of, the whole, and how many come at once
+counted AS (
+    SELECT shares.*, m, v, CASE m WHEN 'symbols' THEN n_symbols WHEN 'capitals' THEN n_capitals WHEN 'repeated_lines' THEN n_dup_lines
+                     WHEN 'repeated_words' THEN n_repeat_words END AS c,
+           CASE m WHEN 'repeated_lines' THEN len(l) WHEN 'repeated_words' THEN n_words ELSE word_chars END AS t,
+           CASE m WHEN 'repeated_words' THEN 27.0::DOUBLE ELSE 9.0::DOUBLE END AS chance
+    FROM long JOIN shares USING (doc_id)),
+beyond AS (SELECT k.*, most, least, c::DOUBLE - (most * t)::DOUBLE / 1e6::DOUBLE AS x
+           FROM counted k JOIN ends e ON e.m = k.m AND e.lang IS NOT DISTINCT FROM k.lang AND e.source IS NOT DISTINCT FROM k.source),
 judged AS (
-    SELECT l.doc_id, bool_and(v <= least(high, greatest(low, b + 3 * (b - a))) AND
-               (l.m <> 'word_length' OR v >= least(2500, greatest(1500, a - 3 * (b - a))))) AS good
-    FROM long l JOIN chosen c ON l.m = c.m AND l.lang IS NOT DISTINCT FROM c.lang
-        AND l.source IS NOT DISTINCT FROM c.source JOIN ends e ON e.m = l.m GROUP BY 1)
+    SELECT doc_id, bool_and(CASE WHEN m = 'word_length' THEN v BETWEEN least AND most
+                                 ELSE x <= 0 OR x * x <= chance * c END) AS good
+    FROM beyond GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(good, false) AS kept
 FROM shares LEFT JOIN judged USING (doc_id)

@@ -11,17 +11,19 @@ from .shared import let, stored, table, words_of
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Words from which on a text's windows are sorted by whole hashes and words.
 LONG_TEXT = 1 << 18
-#: Documents a group needs for thresholds of its own; smaller groups use those of their language.
-LEAST_GROUP = 30
+#: Documents a group needs for quartiles of its own, and a language for a tail of its own.
+LEAST_GROUP, LEAST_TAIL = 30, 300
 #: Rank error of a sketch is at most one in so many rows.
 ACCURACY = 10_000
-#: Spreads (third less first quartile) that a threshold lies beyond the quartile.
-SPREADS = 3
-#: Measure -> (lowest, highest) value of its upper threshold; all in parts per million but word_length (1/1000).
-UPPER = {"symbols": (40_000, 150_000), "repeated_lines": (300_000, 600_000), "repeated_words": (200_000, 450_000),
-         "capitals": (150_000, 400_000), "word_length": (12_000, 25_000)}
-#: The same for the one lower threshold.
-LOWER = {"word_length": (1_500, 2_500)}
+#: Spreads beyond a quartile at which a threshold lies, and deviations of a count by chance beyond the threshold.
+SPREADS, DEVIATIONS = 8, 3
+#: A spread is at least the median's fiftieth, so that a group of copies still has one.
+FINEST = 50
+#: Measure -> (count, what it is a share of, counts that come at once); word_length, a mean, has none. Shares are in
+#: parts per million, word_length in thousandths.
+MEASURES = {"symbols": ("n_symbols", "word_chars", 1), "repeated_lines": ("n_dup_lines", "n_lines", 1),
+            "repeated_words": ("n_repeat_words", "n_words", 3), "capitals": ("n_capitals", "word_chars", 1),
+            "word_length": None}
 
 
 def repeated_words(words: Column) -> Column:
@@ -86,48 +88,60 @@ def share(part: str, whole: str, times: int) -> Column:
 def judged(measured: DataFrame) -> DataFrame:
     """Add base_failed and kept to the rows of :func:`measures`.
 
-    Thresholds are learned from rows that pass the base rules: quartiles of each measure from mergeable sketches, per
-    (lang, source), per language where a group is small, widened by SPREADS spreads and held between fixed ends.
+    Thresholds come from rows that pass the base rules, by quantiles of mergeable sketches per (lang, source), per
+    language where a group is small, of all rows where that is too. A measure may lie SPREADS spreads above its third quartile, word_length also below
+    its first. The spread is the greatest of the group's own (quartile to median), the language's tail (tenth to quartile,
+    for measures that most texts have none of; of all rows where the language is small) and the median's share FINEST. A count goes beyond the threshold only by
+    more than DEVIATIONS deviations of chance, so one symbol in a short text is no reason.
+
     NULL languages and sources are groups like any other. Sketches combine before the shuffle, so a source with most
     rows costs one task no more than others; its rows meet the thresholds in a join that Spark splits.
     """
     rows = measured.withColumns({
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (
             100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
-        "symbols": share("n_symbols", "word_chars", 1_000_000),
-        "repeated_lines": share("n_dup_lines", "n_lines", 1_000_000),
-        "repeated_words": share("n_repeat_words", "n_words", 1_000_000),
-        "capitals": share("n_capitals", "word_chars", 1_000_000),
-        "word_length": share("word_chars", "n_words", 1_000)})
-    passing = rows.where("NOT base_failed")
-    sketches = [F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(m) for m in UPPER)]
-    groups = passing.groupBy("lang", "source").agg(*sketches)
-    langs = passing.groupBy("lang").agg(*(s.alias(f"l_{name}") for s, name in zip(sketches, ["n", *UPPER],
-                                                                                  strict=True)))
-    both = groups.join(langs.withColumnRenamed("lang", "l_lang"), F.col("lang").eqNullSafe(F.col("l_lang")))
-
-    def quartile(measure: str, k: int) -> Column:
-        own = F.col("n") >= LEAST_GROUP
-        return F.when(own, F.col(measure)[k]).otherwise(F.col(f"l_{measure}")[k])
-
-    def held(value: Column, ends: tuple[int, int]) -> Column:
-        return F.least(F.lit(ends[1]), F.greatest(F.lit(ends[0]), value))
-
-    limits = both.select(
-        F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.lit(True).alias("found"),
-        *(held(quartile(m, 1) + SPREADS * (quartile(m, 1) - quartile(m, 0)), e).alias(f"most_{m}")
-          for m, e in UPPER.items()),
-        *(held(quartile(m, 0) - SPREADS * (quartile(m, 1) - quartile(m, 0)), e).alias(f"least_{m}")
-          for m, e in LOWER.items()))
+        **{m: share(kind[0], kind[1], 1_000_000) if kind else share("word_chars", "n_words", 1_000)
+           for m, kind in MEASURES.items()}})
+    named = thresholds(rows.where("NOT base_failed")).select(
+        F.col("lang").alias("t_lang"), F.col("source").alias("t_source"),
+        *(x for m in MEASURES for x in (f"most_{m}", f"least_{m}")))
     good = F.lit(True)
-    for m in UPPER:
-        good = good & (F.col(m) <= F.col(f"most_{m}"))
-    for m in LOWER:
-        good = good & (F.col(m) >= F.col(f"least_{m}"))
-    return rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")),
+    for m, kind in MEASURES.items():
+        if kind is None:
+            good = good & F.col(m).between(F.col(f"least_{m}"), F.col(f"most_{m}"))
+        else:
+            count, whole, at_once = kind
+            beyond = F.col(count).cast("double") - F.col(f"most_{m}") * F.col(whole) / F.lit(1e6)
+            chance = F.lit(float(DEVIATIONS ** 2 * at_once)) * F.col(count)
+            good = good & ((beyond <= 0) | (beyond * beyond <= chance))
+    return rows.join(named, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")),
                      "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False)))
 
 
+def thresholds(passing: DataFrame) -> DataFrame:
+    """(lang, source, most_..., least_...): thresholds of every group in rows with the columns of MEASURES."""
+    wide = [F.percentile_approx(m, [0.1, 0.25, 0.5, 0.75, 0.9], ACCURACY).alias(f"l_{m}") for m in MEASURES]
+    groups = passing.groupBy("lang", "source").agg(
+        F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], ACCURACY).alias(m) for m in MEASURES))
+    langs = passing.groupBy(F.col("lang").alias("l_lang")).agg(F.count("*").alias("l_n"), *wide)
+    # Five numbers of each measure come to the driver.
+    everything = passing.agg(*wide).first()
+    both = groups.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")))
+
+    def ends(m: str) -> list[Column]:
+        own, lang = F.col(m), F.col(f"l_{m}")
+        whole = F.lit(everything[f"l_{m}"] or [None] * 5).cast("array<long>")
+        first, middle, third = (F.when(F.col("n") >= LEAST_GROUP, own[k]).when(
+            F.col("l_n") >= LEAST_GROUP, lang[k + 1]).otherwise(whole[k + 1]) for k in range(3))
+        below, above = (F.when(F.col("l_n") >= LEAST_TAIL, lang[k + 1] - lang[k]).otherwise(whole[k + 1] - whole[k])
+                        for k in (0, 3))
+        finest = F.floor(middle / FINEST)
+        return [(third + SPREADS * F.greatest(third - middle, above, finest)).alias(f"most_{m}"),
+                (first - SPREADS * F.greatest(middle - first, below, finest)).alias(f"least_{m}")]
+
+    return both.select("lang", "source", *(x for m in MEASURES for x in ends(m)))
+
+
 def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and adaptive verdict of every document."""
     measured = stored(measures(table(spark, sf_dir, "documents")), "measures")
