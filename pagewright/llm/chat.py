@@ -7,17 +7,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import let, table
 
 #: Layout -> what it needs: field paths, `[]` for the elements of an array. Those named first win.
 LAYOUTS = {
     "turn rows": ("conv_id", "role", "text", "turn"),
     "messages": ("messages[].content", "messages[].role"),
     "exchanges": ("conversations[].from", "conversations[].value"),
-    "instruction": ("input", "instruction", "output"),
+    "instruction": ("instruction", "output"),
     "prompt": ("completion", "prompt"),
     "question": ("answer", "question"),
 }
+#: What a layout also reads where it is there.
+MAY_HAVE = {"instruction": ("input",)}
 #: Names of roles in other layouts -> canonical ones; others stay.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: The learned role, and the mark at the end of a turn. A turn is `<role>text</turn>` and a line end; `\`, `<` and `>`
@@ -83,27 +85,61 @@ def turns_of(layout: str, field) -> Column:
     return two(field("question", "string"), field("answer", "string"))
 
 
-def json_fingerprint(record: Column) -> Column:
-    """Fingerprint of a JSON record: its paths that layouts know, those of list elements from the first element."""
-    known = sorted({p for needs in LAYOUTS.values() for p in needs})
-    paths = [F.json_object_keys(record)]
-    for name in ("messages", "conversations"):
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        paths.append(F.split(F.concat(F.lit(f"{name}[]."), F.array_join(keys, f"\n{name}[].")), "\n"))
-    empty = F.array().cast("array<string>")
-    there = F.flatten(F.array(*(F.coalesce(p, empty) for p in paths)))
-    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(there, F.array(*map(F.lit, known)))), "\n"))
+def json_paths(record: Column) -> Column:
+    """The paths of a JSON record that layouts may read: its keys, and those of all elements of its lists.
+
+    NULL for a text that is no object. Elements that are no objects have no keys; lists of other names are not read.
+    """
+    def element_keys(name: str) -> Column:
+        rows = F.from_json(F.get_json_object(record, f"$.{name}"), "array<map<string,string>>")
+        keys = F.flatten(F.transform(F.filter(rows, lambda m: m.isNotNull()), F.map_keys))
+        return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    lists = sorted({p.split("[]")[0] for needs in LAYOUTS.values() for p in needs if "[]" in p})
+    return F.array_distinct(F.concat(F.json_object_keys(record), *map(element_keys, lists)))
+
+
+def layout_of_json(record: Column) -> Column:
+    """The first layout whose fingerprint is that of its paths among the record's, as :func:`layout_of` for schemas.
+
+    Further paths do not matter, those of other layouts neither. NULL for records of no layout, broken and NULL ones.
+    """
+    def found(paths: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for layout, needs in reversed(LAYOUTS.items()):
+            if layout != "turn rows":
+                own = F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, needs))))
+                out = F.when(F.xxhash64(F.array_join(own, "\n")) == fingerprint(needs), layout).otherwise(out)
+        return out
+
+    return let(json_paths(record), found)
 
 
 def turns_of_json(record: Column) -> Column:
-    """Canonical turns of JSON records of mixed layouts; NULL for records of none, broken ones too."""
-    out = F.lit(None).cast(TURNS)
-    mark = json_fingerprint(record)
-    for layout, needs in reversed(LAYOUTS.items()):
-        if layout != "turn rows":
-            read = turns_of(layout, lambda path, kind: F.from_json(record, f"`{path}` {kind}")[path])
-            out = F.when(mark == fingerprint(needs), read.cast(TURNS)).otherwise(out)
-    return out
+    """Canonical turns of JSON records of mixed layouts; NULL for records of none, broken ones too.
+
+    :func:`layout_counts` says how many those are.
+    """
+    def read(layout: Column) -> Column:
+        out = F.lit(None).cast(TURNS)
+        for name in reversed(LAYOUTS):
+            if name != "turn rows":
+                turns = turns_of(name, lambda path, kind: F.from_json(record, f"`{path}` {kind}")[path])
+                out = F.when(layout == name, turns.cast(TURNS)).otherwise(out)
+        return out
+
+    return let(layout_of_json(record), read)
+
+
+def layout_counts(df: DataFrame, column: str) -> DataFrame:
+    """(layout, paths, n): records of each layout; those of none have a NULL layout and the paths they have.
+
+    Broken and NULL records have NULL paths. Counts combine before the shuffle.
+    """
+    record = F.col(column)
+    return df.select(layout_of_json(record).alias("layout"), json_paths(record).alias("all")).select("layout", F.when(
+        F.col("layout").isNull(), F.array_join(F.array_sort("all"), " ")).alias("paths")).groupBy("layout", "paths").agg(
+        F.count("*").alias("n"))
 
 
 def escaped(text: Column) -> Column:
@@ -122,7 +158,13 @@ def turn_rows(df: DataFrame) -> DataFrame:
     if layout == "turn rows":
         return df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), turn(
             F.col("role"), F.col("text")).alias("t")).select("conv_id", "turn", "t.role", "t.text")
-    turns = turns_of(layout, lambda path, kind: F.col(path).cast(kind) if kind == "string" else F.col(path))
+
+    def field(path: str, kind: str) -> Column:
+        if path in MAY_HAVE.get(layout, ()) and path not in df.columns:
+            return F.lit(None).cast(kind)
+        return F.col(path).cast(kind) if kind == "string" else F.col(path)
+
+    turns = turns_of(layout, field)
     return df.select(F.col("id").cast("long").alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select(
         "conv_id", F.col("turn").cast("long"), "t.role", "t.text")
 
