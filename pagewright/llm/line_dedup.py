@@ -18,7 +18,7 @@ UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\S+")
 #: Sentences of more words than this are cut on, after words whose own hash says so: one in CUT_EVERY. The cuts depend on
 #: the words alone, so a passage inside two different sentences falls into the same pieces, but for its two ends.
-LONG_SENTENCE, CUT_EVERY = 24, 8
+LONG_SENTENCE, CUT_EVERY = 40, 12
 #: Words that repeated units in a row must have together before they are removed.
 LEAST_WORDS = 10
 
